@@ -31,7 +31,7 @@ THRESHOLD, OVERLAP, LEAST_PART, SHINGLE = 0.6, 0.8, 0.5, 5
 K1, B = 1.2, 0.75
 POSTING_BLOCK, ITEM_RANGES, ITEM_BLOCK = 16, 64, 20_000
 #: Terms of distinct tokens a Python worker keeps at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _EDGES = re.compile(r"^\W+|\W+$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -218,7 +218,7 @@ def find_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value)
-            for b in common.pieces(batches, 8_000_000):
+            for b in common.pieces(batches):
                 hits = matcher.hits(common.column(b, "text"))
                 docs = common.column(b, "doc_id").take(pa.array([h[0] for h in hits], pa.int64()))
                 keys = [matcher.index.keys[h[1]] for h in hits]
@@ -236,7 +236,7 @@ def drop_contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value)
-            for b in common.pieces(batches, 8_000_000):
+            for b in common.pieces(batches):
                 bad = {h[0] for h in matcher.hits(common.column(b, "text"))}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
 

@@ -148,7 +148,7 @@ def _describe(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa
     """One row per document (block null), and blocks of regions: each block goes to one partition as a whole."""
     names = ["doc_id", "point", "n", *(f"w{i}" for i in range(WINDOW_LONGS)), "at", "block"]
     parts, known = len(keys), set()
-    for b in common.pieces(batches, 8_000_000):
+    for b in common.pieces(batches, 1_500_000):
         sets = shingle_sets(common.text_list(b))
         points = np.array([point(u) for u in sets], np.int64)
         sizes = np.array([len(u) for u in sets], np.int64)
@@ -156,7 +156,7 @@ def _describe(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa
         none = pa.nulls(len(sets))
         yield pa.RecordBatch.from_arrays([common.column(b, "doc_id"), pa.array(points), pa.array(sizes), *(pa.array(np.ascontiguousarray(windows[:, i])) for i in range(WINDOW_LONGS)), none.cast(pa.int32()), none.cast(pa.binary())], names)
         ranges = size_ranges(int(sizes.max(initial=1)))
-        if len(known) > 1_000_000:
+        if len(known) > 200_000:
             known.clear()
         fresh = []
         for i, p in enumerate(points.tolist()):  # copies within a task need their regions once
@@ -232,8 +232,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for b in common.pieces(batches, 4_000_000, "text_a"):
-        for c in common.pieces(iter([b]), 4_000_000, "text_b"):
+    for b in common.pieces(batches, 1_000_000, "text_a"):
+        for c in common.pieces(iter([b]), 1_000_000, "text_b"):
             left, right = shingle_sets(common.text_list(c, "text_a")), shingle_sets(common.text_list(c, "text_b"))
             ok = []
             for x, y in zip(left, right):

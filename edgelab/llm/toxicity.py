@@ -39,7 +39,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 _EDGES = re.compile(r"^[^\w@$]+|\W+$")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 #: Tokens whose features a Python worker keeps at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 class CharModel:
@@ -247,7 +247,7 @@ class Scorer:
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
-    for b in common.pieces(batches, 12_000_000):
+    for b in common.pieces(batches):
         yield pa.RecordBatch.from_arrays([common.column(b, c) for c in keep] + [pa.array(scorer.scores(common.column(b, "text")), pa.float64())], keep + ["score"])
 
 
