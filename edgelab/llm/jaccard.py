@@ -33,7 +33,7 @@ from . import common
 from .components import components
 
 WORDS, PERCENT = 5, 80
-#: Documents whose ids may be broadcast to pick their texts; beyond that the texts are joined by shuffling.
+#: Documents (or pairs of them) whose ids may be broadcast to their texts; beyond that they are joined by shuffling.
 BROADCAST_IDS = 500_000
 WINDOW_LONGS = 16
 _U = np.uint64
@@ -269,7 +269,8 @@ def join_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         few = ids.count() <= BROADCAST_IDS
         # A doc_id that several rows have may stand for several texts; all are compared.
         texts = common.materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").distinct(), "texts")
-        both = near.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+        left = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")).join(F.broadcast(near) if near.count() <= BROADCAST_IDS else near, "doc_a")
+        both = left.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")).hint("merge"), "doc_b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long").distinct()
 
     first = common.materialise(linked(met.filter("kind = 0").select("a", "b").distinct()), "links")

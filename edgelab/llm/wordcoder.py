@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a Python worker keeps at most; then it starts anew. Bounds memory at about 120 MB a worker.
-CACHE_WORDS = 500_000
+#: Words whose ids a Python worker keeps at most; then it starts anew. Bounds memory at about 260 MB a worker.
+CACHE_WORDS = 1_400_000
 
 
 class WordCoder:
