@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .kernels import MENU, recurrences, trend_line
 from .windows import SERIES, back, col, full, lag, roll, truth
 
 
@@ -74,52 +74,16 @@ def atr(df: DataFrame, n: int = 14, out: str = "atr", shifted: bool = True) -> D
 
 
 def scan_menu(bars: DataFrame) -> DataFrame:
-    """The indicators that are recurrences: EMA, TEMA, RMA, ATR, RSI, MACD, KAMA, VIDYA, TSI, Keltner."""
+    """The indicators that are recurrences: EMA, TEMA, RMA, ATR, RSI, MACD, KAMA, VIDYA, TSI, Keltner.
+
+    A menu needs many recurrences of a series at once, so the series goes to one kernel that makes them all; a single long
+    recurrence is scan.affine_scan's case."""
     x = with_steps(bars)
-    c = F.col("close")
-    x = scan.ema(x, c, 9, "ema9")
-    x = scan.ema(x, F.col("ema9"), 9, "ema9_2")
-    x = scan.ema(x, F.col("ema9_2"), 9, "ema9_3").withColumn("tema9", 3 * (F.col("ema9") - F.col("ema9_2")) + F.col("ema9_3"))
-    x = scan.rma(x, F.col("tr"), 14, "atr14")
-    x = scan.rma(x, F.greatest(F.col("step"), F.lit(0.0)), 14, "gain")
-    x = scan.rma(x, F.greatest(-F.col("step"), F.lit(0.0)), 14, "loss")
-    x = x.withColumn("rsi14", F.when(F.col("loss") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.try_divide(F.col("gain"), F.col("loss")))))
-    x = scan.ema(x, c, 12, "fast")
-    x = scan.ema(x, c, 26, "slow").withColumn("macd", F.col("fast") - F.col("slow"))
-    x = scan.ema(x, F.col("macd"), 9, "macd_signal")
-    x = x.withColumn("sc", F.pow(F.coalesce(efficiency_ratio(10), F.lit(0.0)) * (2 / 3 - 2 / 31) + 2 / 31, F.lit(2.0)))
-    x = scan.affine_scan(x, 1 - F.col("sc"), F.when(F.col("i") == 0, c).otherwise(F.col("sc") * c), "kama10")
-    x = x.withColumn("vk", F.coalesce(F.abs(cmo(9)) / 100, F.lit(0.0)) * (2 / 13))
-    x = scan.affine_scan(x, 1 - F.col("vk"), F.when(F.col("i") == 0, c).otherwise(F.col("vk") * c), "vidya12")
-    x = scan.ema(x, F.col("step"), 25, "m1")
-    x = scan.ema(x, F.col("m1"), 13, "m2")
-    x = scan.ema(x, F.abs(F.col("step")), 25, "a1")
-    x = scan.ema(x, F.col("a1"), 13, "a2").withColumn("tsi", 100 * F.try_divide(F.col("m2"), F.col("a2")))
-    return x.withColumn("keltner_high", F.col("slow") + 2 * F.col("atr14")).withColumn("keltner_low", F.col("slow") - 2 * F.col("atr14")).drop("m1", "m2", "a1", "a2", "gain", "loss", "sc", "vk", "fast", "ema9_2", "ema9_3", "step", "tr")
-
-
-def _super_trend(pdf: pd.DataFrame, mult: float) -> pd.DataFrame:
-    """The line trails below while the last close lies above it and above otherwise, never loosening on one side; a close
-    through it changes sides at once."""
-    pdf = pdf.sort_values("i")
-    close, mid, reach = pdf["close"].to_numpy(float), (pdf["high"] + pdf["low"]).to_numpy(float) / 2, mult * pdf["atr"].to_numpy(float)
-    below, above = mid - reach, mid + reach
-    line, up = [float(below[0])], [True]
-    for c0, c, lo, hi in zip(close[:-1], close[1:], below[1:], above[1:]):
-        if c0 > line[-1]:
-            now, side = (max(lo, line[-1]) if up[-1] else lo), True
-        else:
-            now, side = (hi if up[-1] else min(hi, line[-1])), False
-        if side and c < now:
-            now, side = hi, False
-        elif not side and c > now:
-            now, side = lo, True
-        line.append(float(now))
-        up.append(side)
-    return pdf[["symbol", "i"]].assign(super_trend=line, super_trend_up=up)
+    x = x.withColumn("sc", F.pow(F.coalesce(efficiency_ratio(10), F.lit(0.0)) * (2 / 3 - 2 / 31) + 2 / 31, F.lit(2.0))).withColumn("vk", F.coalesce(F.abs(cmo(9)) / 100, F.lit(0.0)) * (2 / 13))
+    return x.select("symbol", "i", "close", "tr", "step", "sc", "vk").groupBy("symbol").applyInPandas(recurrences, "symbol string, i long, " + ", ".join(f"{c} double" for c in MENU))
 
 
 def super_trend(bars: DataFrame, n: int = 10, mult: float = 3.0) -> DataFrame:
     """Bands that only tighten while the trend holds: a state machine per series."""
     x = atr(bars, n, "atr", shifted=False)
-    return x.groupBy("symbol").applyInPandas(lambda p: _super_trend(p, mult), "symbol string, i long, super_trend double, super_trend_up boolean")
+    return x.groupBy("symbol").applyInPandas(lambda p: trend_line(p, mult), "symbol string, i long, super_trend double, super_trend_up boolean")

@@ -2,79 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import TRADES, simulate_series
 from .windows import SERIES
 
 PRESETS = {"A": (None, None, True), "B": (2.0, None, True), "C": (2.0, 3.0, False), "D": (1.5, 4.5, False)}
-TRADES = "symbol string, cfg string, entry_i long, exit_i long, direction int, entry_px double, exit_px double, pnl double, atr_entry double, mfe double, mae double, pnl_r double, reason string"
-
-
-def _bar_exit(side: int, stop, target, o: float, h: float, lo: float) -> tuple[float, str] | None:
-    """Where a bar takes an open position out: at the open beyond a level, else at the level; the stop comes first."""
-    beyond = lambda x, level, down: level is not None and (x <= level if down else x >= level)
-    down = side > 0
-    if beyond(o, stop, down):
-        return o, "stop"
-    if beyond(o, target, not down):
-        return o, "tp"
-    if beyond(lo if down else h, stop, down):
-        return stop, "stop"
-    if beyond(h if down else lo, target, not down):
-        return target, "tp"
-    return None
-
-
-def _simulate(pdf: pd.DataFrame, presets: dict, cost: float) -> pd.DataFrame:
-    """All presets of one series in one pass each; entries at the signal bar's close, flat at the last bar of the window."""
-    pdf = pdf.sort_values("i")
-    rows = pdf[["i", "open", "high", "low", "close", "atr", "long", "short", "in_window", "trend_up"]].to_dict("records")
-    ends = [r["in_window"] and (k + 1 == len(rows) or not rows[k + 1]["in_window"]) for k, r in enumerate(rows)]
-    out = []
-    for cfg, (stop_x, target_x, flip) in presets.items():
-        trade = None
-
-        def close(r, price, reason, cfg=cfg):
-            pts = (price - trade["px"]) * trade["side"] - cost
-            out.append((pdf["symbol"].iloc[0], cfg, trade["i"], r["i"], trade["side"], trade["px"], price, pts, trade["atr"], trade["mfe"], trade["mae"], pts / trade["atr"], reason))
-
-        def enter(r, side, stop_x=stop_x, target_x=target_x):
-            reach = lambda x, sign: None if x is None else r["close"] + sign * side * x * r["atr"]
-            return {"i": r["i"], "side": side, "px": r["close"], "atr": r["atr"], "mfe": 0.0, "mae": 0.0, "stop": reach(stop_x, -1), "target": reach(target_x, 1)}
-
-        for r, last in zip(rows, ends):
-            may = r["atr"] is not None and np.isfinite(r["atr"]) and r["atr"] > 0 and r["in_window"] and not last
-            left = False
-            if trade:
-                side, px = trade["side"], trade["px"]
-                trade["mfe"] = max(trade["mfe"], r["high"] - px if side > 0 else px - r["low"])
-                trade["mae"] = max(trade["mae"], px - r["low"] if side > 0 else r["high"] - px)
-                hit = _bar_exit(side, trade["stop"], trade["target"], r["open"], r["high"], r["low"])
-                if hit is None and flip and (side > 0) != bool(r["trend_up"]):
-                    hit = r["close"], "flip"
-                if hit:
-                    close(r, *hit)
-                    trade, left = None, True
-                elif may and (r["short"] if side > 0 else r["long"]):
-                    close(r, r["close"], "reverse")
-                    trade = enter(r, -side)
-                elif last:
-                    close(r, r["close"], "flat")
-                    trade, left = None, True
-            if trade is None and may and not left and (r["long"] or r["short"]):
-                trade = enter(r, 1 if r["long"] else -1)
-        if trade:
-            close(rows[-1], rows[-1]["close"], "end")
-    return pd.DataFrame(out, columns=[c.split()[0] for c in TRADES.split(", ")])
-
-
 def simulate(features: DataFrame, presets: dict | None = None, cost: float = 0.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Trades of each series and preset. features: symbol, i, open..close, atr, long, short, in_window, trend_up."""
     chosen = presets or PRESETS
-    return features.groupBy(*keys).applyInPandas(lambda p: _simulate(p, chosen, cost), TRADES)
+    return features.groupBy(*keys).applyInPandas(lambda p: simulate_series(p, chosen, cost), TRADES)
 
 
 def bar_pnl(trades: DataFrame, bars: DataFrame, cost: float = 0.0) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import account, checks, indicators, inference, sessions, trading
+from ..operators import account, checks, indicators, inference, scan, sessions, trading
 from ..operators.windows import SERIES, lag
 from ..shipping import ship
 from ..sources import bars as src
@@ -128,7 +128,7 @@ _FIRST = {"ema9": "close", "rma_tr": "tr", "gain": "greatest(step, 0.0)", "loss"
 SCAN_COLUMNS = "ema9 tema9 atr14 rsi14 macd macd_signal kama10 vidya12 tsi keltner_high keltner_low"
 _INPUTS = f"""{BASE},
 a AS (SELECT *, coalesce(close - lag(close) OVER w, 0.0) AS step, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i)),
-x AS (SELECT *, power(coalesce(CASE WHEN i >= 10 THEN abs(close - lag(close, 10) OVER w) / nullif(sum(abs(step)) OVER w10, 0) END, 0) * (2.0/3 - 2.0/31) + 2.0/31, 2) AS sc,
+x AS MATERIALIZED (SELECT *, power(coalesce(CASE WHEN i >= 10 THEN abs(close - lag(close, 10) OVER w) / nullif(sum(abs(step)) OVER w10, 0) END, 0) * (2.0/3 - 2.0/31) + 2.0/31, 2) AS sc,
  coalesce(abs(CASE WHEN i >= 8 THEN 100 * sum(step) OVER w9 / nullif(sum(abs(step)) OVER w9, 0) END) / 100, 0) * (2.0/13) AS vk FROM a
  WINDOW w AS (PARTITION BY symbol ORDER BY i), w9 AS (PARTITION BY symbol ORDER BY i ROWS 8 PRECEDING), w10 AS (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING))"""
 
@@ -142,9 +142,15 @@ def scan_indicators(spark, sf_dir):
     return indicators.scan_menu(_hourly(spark, sf_dir)).select("symbol", "i", *SCAN_COLUMNS.split())
 
 
+@query(_sql(f"""{_INPUTS}, r AS (SELECT symbol, i, close AS ema21 FROM x WHERE i = 0 UNION ALL SELECT x.symbol, x.i, r.ema21 + (x.close - r.ema21) / 11 FROM r JOIN x ON x.symbol = r.symbol AND x.i = r.i + 1), result AS (SELECT * FROM r)""", "symbol i", "ema21"))
+def affine_scan(spark, sf_dir):
+    """An EMA as a scan over blocks, for series of any length."""
+    return scan.ema(_hourly(spark, sf_dir), F.col("close"), 21, "ema21").select("symbol", "i", "ema21")
+
+
 @query(_sql(f"""{_INPUTS},
 r0 AS (SELECT symbol, i, tr AS atr FROM x WHERE i = 0 UNION ALL SELECT x.symbol, x.i, 0.9 * r0.atr + 0.1 * x.tr FROM r0 JOIN x ON x.symbol = r0.symbol AND x.i = r0.i + 1),
-y AS (SELECT x.symbol, x.i, x.close, lag(x.close) OVER (PARTITION BY x.symbol ORDER BY x.i) AS c0, (high + low) / 2 - 3 * atr AS lo, (high + low) / 2 + 3 * atr AS hi FROM x JOIN r0 USING (symbol, i)),
+y AS MATERIALIZED (SELECT x.symbol, x.i, x.close, lag(x.close) OVER (PARTITION BY x.symbol ORDER BY x.i) AS c0, (high + low) / 2 - 3 * atr AS lo, (high + low) / 2 + 3 * atr AS hi FROM x JOIN r0 USING (symbol, i)),
 r AS (SELECT symbol, i, lo AS line, true AS up FROM y WHERE i = 0
  UNION ALL SELECT symbol, i, CASE WHEN side AND close < now THEN hi WHEN NOT side AND close > now THEN lo ELSE now END, CASE WHEN side AND close < now THEN false WHEN NOT side AND close > now THEN true ELSE side END FROM (
   SELECT y.symbol, y.i, y.close, y.lo, y.hi, y.c0 > r.line AS side, CASE WHEN y.c0 > r.line THEN (CASE WHEN r.up THEN greatest(y.lo, r.line) ELSE y.lo END) ELSE (CASE WHEN r.up THEN y.hi ELSE least(y.hi, r.line) END) END AS now FROM r JOIN y ON y.symbol = r.symbol AND y.i = r.i + 1)),
@@ -247,11 +253,11 @@ PERMS = 20
 PERMUTED = f"""{GROUPS}, lb AS (SELECT symbol, grp, i, ts, volume, ln(open) AS lo, ln(high) AS lh, ln(low) AS ll, ln(close) AS lc FROM gr),
 pa AS (SELECT *, lo - lag(lc) OVER (PARTITION BY symbol ORDER BY i) AS gap, lh - lo AS rh, ll - lo AS rl, lc - lo AS rc, first_value(lc) OVER (PARTITION BY symbol ORDER BY i) AS c0 FROM lb),
 sp AS (SELECT pa.*, p.perm FROM pa, (SELECT unnest(range(1, {PERMS + 1})) AS perm) p WHERE i > 0),
-rk AS (SELECT *, row_number() OVER (PARTITION BY perm, symbol, grp ORDER BY i) AS slot, row_number() OVER (PARTITION BY perm, symbol, grp ORDER BY md5(concat_ws(':', 1, 1, perm, symbol, i)), i) AS r1, row_number() OVER (PARTITION BY perm, symbol, grp ORDER BY md5(concat_ws(':', 1, 2, perm, symbol, i)), i) AS r2 FROM sp),
-dr AS (SELECT a.perm, a.symbol, a.i, a.ts, a.c0, b.rh, b.rl, b.rc, b.volume, c.gap FROM rk a JOIN rk b ON a.perm = b.perm AND a.symbol = b.symbol AND a.grp = b.grp AND a.slot = b.r1 JOIN rk c ON a.perm = c.perm AND a.symbol = c.symbol AND a.grp = c.grp AND a.slot = c.r2),
-cl AS (SELECT *, c0 + sum(gap + rc) OVER (PARTITION BY perm, symbol ORDER BY i) AS lc FROM dr),
-op AS (SELECT *, coalesce(lag(lc) OVER (PARTITION BY perm, symbol ORDER BY i), c0) + gap AS lo FROM cl),
-permuted AS (SELECT 0 AS perm, symbol, i, ts, open, high, low, close, volume FROM bars UNION ALL SELECT p.perm, symbol, i, ts, open, high, low, close, volume FROM bars, (SELECT unnest(range(1, {PERMS + 1})) AS perm) p WHERE i = 0
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY perm, symbol, grp ORDER BY i) AS slot, row_number() OVER (PARTITION BY perm, symbol, grp ORDER BY md5(concat_ws(':', 1, 1, perm, symbol, i)), i) AS r1, row_number() OVER (PARTITION BY perm, symbol, grp ORDER BY md5(concat_ws(':', 1, 2, perm, symbol, i)), i) AS r2 FROM sp),
+dr AS MATERIALIZED (SELECT a.perm, a.symbol, a.i, a.ts, a.c0, b.rh, b.rl, b.rc, b.volume, c.gap FROM rk a JOIN rk b ON a.perm = b.perm AND a.symbol = b.symbol AND a.grp = b.grp AND a.slot = b.r1 JOIN rk c ON a.perm = c.perm AND a.symbol = c.symbol AND a.grp = c.grp AND a.slot = c.r2),
+cl AS MATERIALIZED (SELECT *, c0 + sum(gap + rc) OVER (PARTITION BY perm, symbol ORDER BY i) AS lc FROM dr),
+op AS MATERIALIZED (SELECT *, coalesce(lag(lc) OVER (PARTITION BY perm, symbol ORDER BY i), c0) + gap AS lo FROM cl),
+permuted AS MATERIALIZED (SELECT 0 AS perm, symbol, i, ts, open, high, low, close, volume FROM bars UNION ALL SELECT p.perm, symbol, i, ts, open, high, low, close, volume FROM bars, (SELECT unnest(range(1, {PERMS + 1})) AS perm) p WHERE i = 0
  UNION ALL SELECT perm, symbol, i, ts, exp(lo), exp(lo + rh), exp(lo + rl), exp(lc), volume FROM op)"""
 
 
@@ -268,7 +274,8 @@ def permuted_bars(spark, sf_dir):
 def _cells(spark, sf_dir):
     w = Window.partitionBy("perm", "symbol").orderBy("i")
     x = _permuted(spark, sf_dir).withColumn("mom", F.ln("close") - F.ln(F.lag("close", 3).over(w)))
-    horizons = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), (F.ln(F.lead("close", h).over(w)) - F.ln("close")).alias("ret")) for h in (1, 4))))
+    horizons = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"r{h}").alias("ret")) for h in (1, 4))))
+    x = x.withColumn("r1", F.ln(F.lead("close", 1).over(w)) - F.ln("close")).withColumn("r4", F.ln(F.lead("close", 4).over(w)) - F.ln("close"))
     e = x.select("perm", "symbol", F.when(F.col("mom") > 0, 1).when(F.col("mom") < 0, -1).alias("side"), horizons.alias("o")).select("perm", "symbol", "side", "o.*").filter("side is not null")
     return inference.welch(e, "ret", ["perm", "symbol", "horizon"], 10)
 
@@ -276,7 +283,7 @@ def _cells(spark, sf_dir):
 CELLS = f"""{PERMUTED}, mo AS (SELECT perm, symbol, ln(close) - ln(lag(close, 3) OVER w) AS mom, ln(lead(close, 1) OVER w) - ln(close) AS r1, ln(lead(close, 4) OVER w) - ln(close) AS r4 FROM permuted WINDOW w AS (PARTITION BY perm, symbol ORDER BY i)),
 lo2 AS (SELECT perm, symbol, sign(mom) AS side, 1 AS horizon, r1 AS ret FROM mo UNION ALL SELECT perm, symbol, sign(mom), 4, r4 FROM mo),
 ce AS (SELECT perm, symbol, horizon, count(ret) FILTER (side = 1) AS nl, count(ret) FILTER (side = -1) AS ns, avg(ret) FILTER (side = 1) - avg(ret) FILTER (side = -1) AS d, sqrt(var_samp(ret) FILTER (side = 1) / nullif(count(ret) FILTER (side = 1), 0) + var_samp(ret) FILTER (side = -1) / nullif(count(ret) FILTER (side = -1), 0)) AS se FROM lo2 GROUP BY 1, 2, 3),
-cells AS (SELECT perm, symbol, horizon, CASE WHEN nl >= 10 AND ns >= 10 AND se > 0 THEN d / se END AS t FROM ce)"""
+cells AS MATERIALIZED (SELECT perm, symbol, horizon, CASE WHEN nl >= 10 AND ns >= 10 AND se > 0 THEN d / se END AS t FROM ce)"""
 
 
 @query(f"""{BASE}, {CELLS}, lim AS (SELECT symbol, horizon, quantile_cont(abs(t), 0.95) AS l FROM cells WHERE perm > 0 GROUP BY 1, 2),
@@ -382,11 +389,11 @@ def runs_test(spark, sf_dir):
 
 
 @query(f"""WITH d AS (SELECT l_returnflag, l_shipdate, sum({PNL}) AS pnl FROM lineitem GROUP BY 1, 2), e AS (SELECT *, sum(pnl) OVER w AS equity, CASE WHEN count(*) OVER l = 20 THEN sum(pnl) OVER l END AS roll_sum, CASE WHEN count(*) OVER l = 20 THEN avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) OVER l END AS roll_win FROM d WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate), l AS (PARTITION BY l_returnflag ORDER BY l_shipdate ROWS 19 PRECEDING))
-SELECT l_returnflag, l_shipdate, round(equity, 2) AS equity, round(equity - max(equity) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate), 2) AS drawdown, round(roll_sum, 2) AS roll_sum, round(roll_win, 5) AS roll_win FROM e""")
+SELECT l_returnflag, l_shipdate, round(equity, 5) AS equity, round(equity - max(equity) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate), 5) AS drawdown, round(roll_sum, 5) AS roll_sum, round(roll_win, 5) AS roll_win FROM e""")
 def equity_curves(spark, sf_dir):
     """Equity, drawdown and rolling results by day."""
     d = _trades(spark, sf_dir).groupBy("l_returnflag", "l_shipdate").agg(F.sum("pnl").alias("pnl"))
-    return trading.equity(d, ["l_returnflag"], ["l_shipdate"]).select("l_returnflag", "l_shipdate", *(F.round(c, 2).alias(c) for c in ("equity", "drawdown", "roll_sum")), "roll_win")
+    return trading.equity(d, ["l_returnflag"], ["l_shipdate"]).select("l_returnflag", "l_shipdate", "equity", "drawdown", "roll_sum", "roll_win")
 
 
 @query(f"""WITH s AS (SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS x, CAST(round(l_discount * 100) AS BIGINT) AS y, avg({PNL}) AS v FROM lineitem GROUP BY 1, 2), r AS (SELECT *, dense_rank() OVER (ORDER BY x) AS rx, dense_rank() OVER (ORDER BY y) AS ry FROM s)
@@ -400,8 +407,8 @@ def parameter_plateau(spark, sf_dir):
 COSTS = [0.0, 1.0, 5.0, 20.0, 100.0]
 
 
-@query(f"""WITH c AS (SELECT l_linestatus, cost, sum({PNL} - cost) AS total FROM lineitem, (SELECT unnest({COSTS}::DOUBLE[]) AS cost) GROUP BY 1, 2), n AS (SELECT *, lead(total) OVER w AS after, lead(cost) OVER w AS at FROM c WINDOW w AS (PARTITION BY l_linestatus ORDER BY cost))
-SELECT l_linestatus, cost, round(total, 2) AS total, CASE WHEN total > 0 AND after <= 0 THEN round(cost + (at - cost) * total / (total - after), 5) END AS breakeven FROM n""")
+@query(f"""WITH c AS (SELECT l_linestatus, cost, sum({PNL} - cost) AS total FROM lineitem, (SELECT unnest({COSTS}::DOUBLE[]) AS cost) GROUP BY 1, 2), n AS (SELECT *, lead(total) OVER w AS after, lead(cost) OVER w AS next_cost FROM c WINDOW w AS (PARTITION BY l_linestatus ORDER BY cost))
+SELECT l_linestatus, cost, round(total, 2) AS total, CASE WHEN total > 0 AND after <= 0 THEN round(cost + (next_cost - cost) * total / (total - after), 5) END AS breakeven FROM n""")
 def cost_sensitivity(spark, sf_dir):
     """Totals by cost and the cost that breaks even."""
     return account.cost_sensitivity(_trades(spark, sf_dir), COSTS, ["l_linestatus"]).withColumn("total", F.round("total", 2))
