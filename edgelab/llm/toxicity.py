@@ -193,9 +193,13 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
             for f in fs:
                 if f in having:
                     having[f].append(i)
+    same: set[tuple[int, ...]] = set()
     for _, f, _ in sorted(ranked):
+        if tuple(having[f]) in same:  # a word and its own beginnings, in the same texts
+            continue
         if (covered[having[f]] < COVER).sum() >= max(1, min(4, n1 // 100)) and len(chosen) < MOST_FEATURES:
             chosen[f] = len(chosen)
+            same.add(tuple(having[f]))
             covered[having[f]] += 1
     x = np.zeros((len(rows), len(chosen)))
     for i, fs in enumerate(sets):
