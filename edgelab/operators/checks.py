@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import SERIES, lag, truth
+from .windows import series, lag, truth
 
 
 def bar_checks(bars: DataFrame, step: int | None = None) -> DataFrame:

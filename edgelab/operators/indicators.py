@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .kernels import MENU, recurrences, trend_line
-from .windows import SERIES, back, col, full, lag, roll, truth
+from .windows import series, back, col, full, lag, roll, truth
 
 
 def true_range() -> Column:
@@ -22,7 +22,7 @@ def mid_donchian(n: int) -> Column:
 
 def wma(x: str, n: int) -> Column:
     """Weights 1..n, the newest heaviest."""
-    return full(sum((F.coalesce(F.lag(col(x), k).over(SERIES), F.lit(0.0)) * (n - k) for k in range(n)), F.lit(0.0)) / (n * (n + 1) / 2), x, n)
+    return full(sum((F.coalesce(F.lag(col(x), k).over(series()), F.lit(0.0)) * (n - k) for k in range(n)), F.lit(0.0)) / (n * (n + 1) / 2), x, n)
 
 
 def steps(x: str = "close") -> Column:

@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import SERIES, ahead, full, lead, truth
+from .windows import series, ahead, full, lead, truth
 
 WELCH = ["symbol", "cfg", "horizon"]
 
 
-def cross_events(fast: Column, slow: Column, order=SERIES) -> tuple[Column, Column]:
+def cross_events(fast: Column, slow: Column, order=None) -> tuple[Column, Column]:
     """(up, down): the state changed at this bar, with both lines known here and before."""
+    order = order or series()
     above = truth(fast > slow)
     known = fast.isNotNull() & slow.isNotNull() & F.lag(fast).over(order).isNotNull() & F.lag(slow).over(order).isNotNull()
     was = F.coalesce(F.lag(above).over(order), F.lit(False))
@@ -88,7 +89,7 @@ def cell_pvalues(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def runs_of(df: DataFrame, active: Column, least: int) -> DataFrame:
     """Rows of unbroken runs of more than `least` bars, with the run's id and length."""
-    x = df.filter(active).withColumn("run", F.col("i") - F.row_number().over(SERIES))
+    x = df.filter(active).withColumn("run", F.col("i") - F.row_number().over(series()))
     x = x.withColumn("run_length", F.count("*").over(Window.partitionBy("symbol", "run")))
     return x.filter(F.col("run_length") > least)
 

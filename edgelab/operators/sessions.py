@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import SERIES, truth
+from .windows import series, truth
 
 ZONE = "America/Chicago"
 RTH = (8 * 60 + 30, 15 * 60)
@@ -30,8 +30,8 @@ def in_clock_bucket(minutes: Column, start: int, stop: int) -> Column:
 def session_groups(bars: DataFrame) -> DataFrame:
     """Groups to permute within: number of the session, doubled, plus one in regular hours."""
     x = with_sessions(bars)
-    fresh = (~F.col("session").eqNullSafe(F.lag("session").over(SERIES))).cast("long")
-    return x.withColumn("group", 2 * F.sum(fresh).over(SERIES) + F.col("in_rth").cast("long"))
+    fresh = (~F.col("session").eqNullSafe(F.lag("session").over(series()))).cast("long")
+    return x.withColumn("group", 2 * F.sum(fresh).over(series()) + F.col("in_rth").cast("long"))
 
 
 def session_vwap(bars: DataFrame) -> DataFrame:
@@ -103,10 +103,10 @@ def opening_range(bars: DataFrame, minutes: int = 120) -> DataFrame:
 
 def swing_levels(bars: DataFrame, k: int = 5) -> DataFrame:
     """Last confirmed swing high and low: the extreme of k bars either side, published k bars later and carried on."""
-    around, carry = SERIES.rowsBetween(-k, k), SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    around, carry = series().rowsBetween(-k, k), series().rowsBetween(Window.unboundedPreceding, 0)
     whole = F.count("*").over(around) == 2 * k + 1
     x = bars.withColumn("ph", F.when(whole & (F.max("high").over(around) == F.col("high")), F.col("high"))).withColumn("pl", F.when(whole & (F.min("low").over(around) == F.col("low")), F.col("low")))
-    x = x.withColumn("ph", F.lag("ph", k).over(SERIES)).withColumn("pl", F.lag("pl", k).over(SERIES))
+    x = x.withColumn("ph", F.lag("ph", k).over(series())).withColumn("pl", F.lag("pl", k).over(series()))
     return x.withColumn("swing_high", F.last("ph", ignorenulls=True).over(carry)).withColumn("swing_low", F.last("pl", ignorenulls=True).over(carry)).drop("ph", "pl")
 
 

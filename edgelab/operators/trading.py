@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import TRADES, simulate_series
-from .windows import SERIES
+from .windows import series
 
 PRESETS = {"A": (None, None, True), "B": (2.0, None, True), "C": (2.0, 3.0, False), "D": (1.5, 4.5, False)}
 def simulate(features: DataFrame, presets: dict | None = None, cost: float = 0.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -18,7 +18,7 @@ def simulate(features: DataFrame, presets: dict | None = None, cost: float = 0.0
 def bar_pnl(trades: DataFrame, bars: DataFrame, cost: float = 0.0) -> DataFrame:
     """P&L of each bar of each trade: closes mark it from the bar after the entry on; the exit bar uses the fill and bears the cost."""
     held = trades.withColumn("i", F.explode(F.sequence(F.col("entry_i") + 1, F.greatest(F.col("exit_i"), F.col("entry_i") + 1)))).filter("i <= exit_i")
-    marked = bars.select("symbol", "i", "close", F.lag("close").over(SERIES).alias("before"))
+    marked = bars.select("symbol", "i", "close", F.lag("close").over(series()).alias("before"))
     last = F.col("i") == F.col("exit_i")
     return held.join(marked, ["symbol", "i"]).select("symbol", "cfg", "entry_i", "i", ((F.when(last, F.col("exit_px")).otherwise(F.col("close")) - F.col("before")) * F.col("direction") - F.when(last, F.lit(cost)).otherwise(0.0)).alias("pnl"))
 

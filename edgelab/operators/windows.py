@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol").orderBy("i")
+def series():
+    """A symbol's bars in order. A function, as window specifications need a session."""
+    return Window.partitionBy("symbol").orderBy("i")
 
 
 def col(x: Column | str) -> Column:
@@ -17,7 +19,7 @@ def back(n: int, keys: tuple[str, ...] = ("symbol",)):
 
 
 def ahead(h: int):
-    return SERIES.rowsBetween(1, h)
+    return series().rowsBetween(1, h)
 
 
 def full(value: Column, x: Column | str, n: int, frame=None) -> Column:
@@ -30,11 +32,11 @@ def roll(fn, x: Column | str, n: int) -> Column:
 
 
 def lag(x: Column | str, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(SERIES)
+    return F.lag(col(x), n).over(series())
 
 
 def lead(x: Column | str, n: int = 1) -> Column:
-    return F.lead(col(x), n).over(SERIES)
+    return F.lead(col(x), n).over(series())
 
 
 def truth(condition: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import account, checks, indicators, inference, scan, sessions, trading
-from ..operators.windows import SERIES, lag
+from ..operators.windows import series, lag
 from ..shipping import ship
 from ..sources import bars as src
 
@@ -163,7 +163,7 @@ def super_trend(spark, sf_dir):
 def _crosses(spark, sf_dir):
     b = _hourly(spark, sf_dir).withColumn("line", indicators.mid_donchian(9))
     up, down = inference.cross_events(F.col("close"), F.col("line"))
-    return b.withColumn("ret", F.lead("close", 3).over(SERIES) - F.col("close")).withColumn("side", F.when(up, 1).when(down, -1))
+    return b.withColumn("ret", F.lead("close", 3).over(series()) - F.col("close")).withColumn("side", F.when(up, 1).when(down, -1))
 
 
 @query(_sql(f"{BASE}, {CROSS}, result AS (SELECT symbol, i, CAST(side AS INTEGER) AS side, ret FROM ev WHERE side IS NOT NULL)", "symbol i side", "ret"))
