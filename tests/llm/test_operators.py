@@ -120,11 +120,11 @@ def brute_components(docs):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")))
         sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
     label = list(range(len(docs)))
-    for _ in docs:
-        for a in range(len(docs)):
-            for b in range(a):
-                if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
     return sorted((docs[k][0], len(sets[k]), min(docs[j][0] for j in range(len(docs)) if label[j] == label[k])) for k in range(len(docs)))
 
 
