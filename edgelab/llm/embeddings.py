@@ -27,8 +27,8 @@ from .components import components
 THRESHOLD = 0.93
 TABLES, COUNT, SEED = 8, 2, 20240917
 PROBES = 1 + COUNT
-#: Rows of a bucket compared at once.
-ROWS = 2048
+#: Rows of a bucket compared at once, and pairs of them verified at once: they bound a worker's memory.
+ROWS, PAIRS = 1024, 32_768
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -122,6 +122,39 @@ def _deal(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array([keys[p] for p in some], pa.int32()), pa.array([vectors.shape[1]] * len(some), pa.int32()), pa.array([flat[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], ["at", "dim", "block"])
 
 
+def _first_meetings(x: np.ndarray, y: np.ndarray, bucket: int, threshold: float) -> np.ndarray:
+    """Which pairs (x at home in the bucket, y at home or looking in) are links that no earlier table or place has counted."""
+    u, w = x["v"].astype(np.float64), y["v"].astype(np.float64)
+    exact = (u * w).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((w * w).sum(axis=1))) >= threshold
+    t, rows = x["table"].astype(np.int64), np.arange(len(x))
+    exact &= (x["codes"][rows, t, 0] == bucket) & (x["table"] == y["table"])
+    # Meetings of the pair in each table: the lower id at home and the higher one looking in, or the reverse.
+    ahead = (x["codes"][:, :, :1] == y["codes"]).any(axis=2)  # x at home
+    back = (y["codes"][:, :, :1] == x["codes"]).any(axis=2)
+    earlier = np.arange(TABLES) < t[:, None]
+    return exact & ~(((ahead | back) & earlier).any(axis=1) | (~(x["id"] < y["id"]) & back[rows, t]))
+
+
+def _forest(parent: np.ndarray, p: list[int], q: list[int]) -> list[tuple[int, int]]:
+    """Joins the sets of each pair; the pairs that joined two. Afterwards parent holds the root of every node."""
+    used = []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = int(parent[x])
+        return x
+
+    for u, w in zip(p, q):
+        a, b = root(u), root(w)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            used.append((u, w))
+    while used and (parent[parent] != parent).any():
+        parent[:] = parent[parent]
+    return used
+
+
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, links): b null for link counts of a; links 0 for one of the links that hold a bucket's components together."""
     blocks: dict[int, list[bytes]] = {}
@@ -143,41 +176,26 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
                 continue
             norm = lambda v: (x := v.astype(np.float64)) / np.sqrt((x * x).sum(axis=1, keepdims=True))
             left, right = norm(own["v"]), norm(run["v"])
-            parent = {}
-
-            def root(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
+            names, at_run = np.unique(run["id"], return_inverse=True)
+            at_own = at_run[run["own"] == 1]
+            links, parent = np.zeros(len(names), np.int64), np.arange(len(names))
 
             for r in range(0, len(own), ROWS):
                 for c in range(0, n, ROWS):
-                    cos = left[r : r + ROWS] @ right[c : c + ROWS].T
-                    i, j = np.nonzero(cos >= threshold - 1e-9)
+                    i, j = np.nonzero(left[r : r + ROWS] @ right[c : c + ROWS].T >= threshold - 1e-9)
                     i, j = i + r, j + c
                     ok = (own["id"][i] != run["id"][j]) & (own["group"][i] == run["group"][j])
                     i, j = i[ok], j[ok]
-                    if not len(i):
-                        continue
-                    x, y = own[i], run[j]
-                    u, w = x["v"].astype(np.float64), y["v"].astype(np.float64)
-                    exact = (u * w).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((w * w).sum(axis=1))) >= threshold
-                    t, rows = x["table"].astype(np.int64), np.arange(len(i))
-                    exact &= (x["codes"][rows, t, 0] == own["codes"][0, own["table"][0], 0]) & (x["table"] == y["table"])
-                    lower_first = x["id"] < y["id"]
-                    # Meetings of the pair in each table: the lower id at home and the higher one looking in, or the reverse.
-                    ahead = (x["codes"][:, :, :1] == y["codes"]).any(axis=2)  # x at home
-                    back = (y["codes"][:, :, :1] == x["codes"]).any(axis=2)
-                    earlier = np.arange(TABLES) < t[:, None]
-                    again = ((ahead | back) & earlier).any(axis=1) | (~lower_first & back[rows, t])
-                    for p, q, pc_, qc in zip(*(z[exact & ~again].tolist() for z in (x["id"], y["id"], x["copies"], y["copies"]))):
-                        counted[p] = counted.get(p, 0) + qc
-                        counted[q] = counted.get(q, 0) + pc_
-                        rp, rq = root(p), root(q)
-                        if rp != rq:
-                            parent[max(rp, rq)] = min(rp, rq)
-                            joined.add((min(p, q), max(p, q)))
+                    for k in range(0, len(i), PAIRS):
+                        good = _first_meetings(own[i[k : k + PAIRS]], run[j[k : k + PAIRS]], own["codes"][0, own["table"][0], 0], threshold)
+                        x, y = i[k : k + PAIRS][good], j[k : k + PAIRS][good]
+                        p, q = at_own[x], at_run[y]
+                        np.add.at(links, p, run["copies"][y])
+                        np.add.at(links, q, own["copies"][x])
+                        apart = parent[p] != parent[q]  # parents are roots here
+                        joined.update((int(min(names[u], names[w])), int(max(names[u], names[w]))) for u, w in _forest(parent, p[apart].tolist(), q[apart].tolist()))
+            for at in np.flatnonzero(links).tolist():
+                counted[int(names[at])] = counted.get(int(names[at]), 0) + int(links[at])
         pairs = sorted(joined)
         ids = list(counted)
         yield pa.RecordBatch.from_arrays([pa.array(ids + [p for p, _ in pairs], pa.int64()), pa.array([None] * len(ids) + [q for _, q in pairs], pa.int64()), pa.array([counted[i] for i in ids] + [0] * len(pairs), pa.int64())], ["a", "b", "links"])
