@@ -11,7 +11,8 @@ form one component with it, and only what lies in different components goes on,
 of two documents to a common set of pivots (1,024 classes, each counted modulo 2) differ in no more than delta. What
 passes them is compared exactly.
 
-A region never travels with its texts; only pairs that pass the windows do. Copies (equal sets) are one point.
+A region never travels with its texts; only pairs that pass the windows do, compressed. Of those, one pair of each point is
+compared first; pairs that its links have joined already need no comparison. Copies (equal sets) are one point.
 
 Null and empty texts have no shingles and link with nothing. Texts with fewer words than a shingle are one shingle, the
 whole sequence. Repeated doc_ids keep one row each and share the component of their texts; a null doc_id gets a component
@@ -26,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ from .components import components
 WORDS, PERCENT = 5, 80
 #: Documents (or pairs of them) whose ids may be broadcast to their texts; beyond that they are joined by shuffling.
 BROADCAST_IDS = 500_000
+#: Letters of text that a Python worker describes or compares at a time (one text at least), and rows it is sent at a time.
+LETTERS, ROWS = 400_000, 500
 WINDOW_LONGS = 16
 _U = np.uint64
 
@@ -60,7 +64,7 @@ _powers = (np.ones(1, _U), np.ones(1, _U))
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         _powers = tuple(np.concatenate([np.ones(1, _U), np.cumprod(np.full(size, r, _U))]) for r in (_R, _R_INV))
     return _powers
 
@@ -148,7 +152,7 @@ def _describe(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa
     """One row per document (block null), and blocks of regions: each block goes to one partition as a whole."""
     names = ["doc_id", "point", "n", *(f"w{i}" for i in range(WINDOW_LONGS)), "at", "block"]
     parts, known = len(keys), set()
-    for b in common.pieces(batches, 1_500_000):
+    for b in common.pieces(batches, LETTERS):
         sets = shingle_sets(common.text_list(b))
         points = np.array([point(u) for u in sets], np.int64)
         sizes = np.array([len(u) for u in sets], np.int64)
@@ -177,24 +181,31 @@ def _describe(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa
         for p in range(parts):
             a, z = cut[p], cut[p + 1]
             if z > a:
-                own, local = np.unique(owner[a:z], return_inverse=True)
-                wide = "<u2" if len(own) < 65536 else "<u4"
-                rows.append((keys[p], np.array([len(own), z - a, int(wide[-1])], "<i8").tobytes() + table[own].astype("<i8").tobytes() + key[a:z].tobytes() + local.astype(wide).tobytes()))
+                own, count = np.unique(owner[a:z], return_counts=True)
+                rows.append((keys[p], _pack_block(table[own], count, key[a:z])))
         k, blocks = zip(*rows)
         null = pa.nulls(len(rows))
         yield pa.RecordBatch.from_arrays([null.cast(common.column(b, "doc_id").type), *[null.cast(pa.int64())] * (2 + WINDOW_LONGS), pa.array(k, pa.int32()), pa.array(blocks, pa.binary())], names)
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    own, n, wide = np.frombuffer(block, "<i8", 3)
-    table = np.frombuffer(block, "<i8", own, 24)
-    key = np.frombuffer(block, "<u8", n, 24 + 8 * own)
-    return key, table[np.frombuffer(block, f"<u{wide}", n, 24 + 8 * own + 8 * n)]
+def _pack_block(members: np.ndarray, counts: np.ndarray, key: np.ndarray) -> bytes:
+    """Members, how many regions each has, and the regions' lower 48 bits in order of the members."""
+    low = key.astype("<u8").view("<u2").reshape(-1, 4)[:, :3]
+    return np.array([len(members)], "<i8").tobytes() + members.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + low.tobytes()
+
+
+def _unpack_block(at: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(regions, members). A region is named by its lower 48 bits and where it was dealt; two that share a name only make more pairs to compare."""
+    n = int(np.frombuffer(block, "<i8", 1)[0])
+    low = np.frombuffer(block, "<u2", offset=8 + 12 * n).reshape(-1, 3)
+    key = np.full((len(low), 4), at & 0xFFFF, "<u2")
+    key[:, :3] = low
+    return key.view("<u8")[:, 0], np.repeat(np.frombuffer(block, "<i8", n, 8), np.frombuffer(block, "<u4", n, 8 + 8 * n))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the regions dealt here: pairs (least member, other member), and the members of regions of three and more, each set of members once."""
-    got = [_unpack(x) for b in batches for x in common.column(b, "block").to_pylist()]
+    got = [_unpack_block(at, x) for b in batches for at, x in zip(common.column(b, "at").to_pylist(), common.column(b, "block").to_pylist())]
     if not got:
         return
     key, member = (np.concatenate(x) for x in zip(*got))
@@ -231,15 +242,44 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), kind, np.int8))], ["a", "b", "kind"])
 
 
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Point and compressed text; of the copies within a task, one."""
+    packer, seen = zstandard.ZstdCompressor(), set()
+    for b in common.pieces(batches, LETTERS):
+        texts = common.text_list(b)
+        new = {}
+        for u, t in zip(shingle_sets(texts), texts):
+            p = point(u)
+            if len(u) and p not in seen:
+                new.setdefault(p, packer.compress(t.encode("utf-8", "surrogatepass")))
+        if len(seen) > 200_000:
+            seen.clear()
+        seen.update(new)
+        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], ["point", "packed"])
+
+
+def _links(texts: list[tuple[str, str]], percent: int) -> list[bool]:
+    sets = shingle_sets([t for pair in texts for t in pair])
+    out = []
+    for x, y in zip(sets[::2], sets[1::2]):
+        same = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(len(x) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for b in common.pieces(batches, 1_000_000, "text_a"):
-        for c in common.pieces(iter([b]), 1_000_000, "text_b"):
-            left, right = shingle_sets(common.text_list(c, "text_a")), shingle_sets(common.text_list(c, "text_b"))
-            ok = []
-            for x, y in zip(left, right):
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(len(x) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
-            yield c.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    unpacker = zstandard.ZstdDecompressor()
+    for b in batches:
+        left, right = common.column(b, "text_a"), common.column(b, "text_b")
+        ok, some, letters = [], [], 0
+        for i in range(b.num_rows):
+            pair = tuple(unpacker.decompress(c[i].as_py()).decode("utf-8", "surrogatepass") for c in (left, right))
+            some.append(pair)
+            letters += len(pair[0]) + len(pair[1])
+            if letters > LETTERS or i + 1 == b.num_rows:
+                ok += _links(some, percent)
+                some, letters = [], 0
+        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _window_holds(a: str, b: str, percent: int):
@@ -251,6 +291,11 @@ def _window_holds(a: str, b: str, percent: int):
 
 def join_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    with common.arrow_rows(documents.sparkSession, ROWS):
+        return _join(documents, percent)
+
+
+def _join(documents: DataFrame, percent: int) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
     parts = common.shuffle_partitions(spark)
@@ -265,15 +310,25 @@ def join_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         """The pairs (a, b) of points that link, by exact comparison of their texts."""
         whole = pairs.select("a", "b").join(points.select(F.col("point").alias("a"), F.struct("doc_id", "n", *(f"w{i}" for i in range(WINDOW_LONGS))).alias("x")), "a").join(points.select(F.col("point").alias("b"), F.struct("doc_id", "n", *(f"w{i}" for i in range(WINDOW_LONGS))).alias("y")), "b")
         near = common.materialise(whole.filter(_window_holds("x", "y", percent)).select("a", "b", F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b")), "near")
-        ids = near.select(F.col("doc_a").alias("doc_id")).union(near.select("doc_b")).distinct()
+        chosen = common.materialise(near.groupBy("b").agg(F.min(F.struct("a", "doc_a", "doc_b")).alias("x")).select("x.a", "b", "x.doc_a", "x.doc_b"), "chosen")
+        one = compared(chosen)
+        of = components(one)
+        left, right = (of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+        apart = near.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        return one.unionByName(compared(common.materialise(apart.select("a", "b", "doc_a", "doc_b").join(chosen.select("a", "b"), ["a", "b"], "left_anti"), "apart")))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose texts link."""
+        ids = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
         few = ids.count() <= BROADCAST_IDS
-        # A doc_id that several rows have may stand for several texts; all are compared.
-        texts = common.materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").distinct(), "texts")
-        left = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")).join(F.broadcast(near) if near.count() <= BROADCAST_IDS else near, "doc_a")
-        both = left.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")).hint("merge"), "doc_b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long").distinct()
-
-    first = common.materialise(linked(met.filter("kind = 0").select("a", "b").distinct()), "links")
+        texts = common.materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_compress, "point long, packed binary"), "texts")
+        if not texts.groupBy("point").count().filter("count > 1").isEmpty():  # a doc_id that several rows have
+            texts = common.materialise(texts.dropDuplicates(["point"]), "texts")
+        left = texts.select(F.col("point").alias("a"), F.col("packed").alias("text_a")).join(F.broadcast(pairs.select("a", "b")) if pairs.count() <= BROADCAST_IDS else pairs.select("a", "b"), "a")
+        both = left.join(texts.select(F.col("point").alias("b"), F.col("packed").alias("text_b")).hint("merge"), "b")
+        return common.materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "compared")
+
+    first = linked(met.filter("kind = 0").select("a", "b").distinct())
     comps = components(first)
     # What is left of each region: members of different components, in regions that hold such.
     members = met.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("point")).join(comps.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
