@@ -145,20 +145,25 @@ def point(u: np.ndarray) -> int:
     return int((np.sum(mix(u)) + mix(np.array([len(u)], _U)))[0].view(np.int64)) if len(u) else 0
 
 
-_POINT = "doc_id {id}, point long, n long, " + ", ".join(f"w{i} long" for i in range(WINDOW_LONGS)) + ", at int, block binary"
+_POINT = "doc_id {id}, point long, n long, " + ", ".join(f"w{i} long" for i in range(WINDOW_LONGS))
 
 
-def _describe(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.RecordBatch]:
-    """One row per document (block null), and blocks of regions: each block goes to one partition as a whole."""
-    names = ["doc_id", "point", "n", *(f"w{i}" for i in range(WINDOW_LONGS)), "at", "block"]
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document."""
+    names = ["doc_id", "point", "n", *(f"w{i}" for i in range(WINDOW_LONGS))]
+    for b in common.pieces(batches, LETTERS):
+        sets = shingle_sets(common.text_list(b))
+        windows = np.array([window(u) for u in sets], np.int64).reshape(len(sets), WINDOW_LONGS)
+        yield pa.RecordBatch.from_arrays([common.column(b, "doc_id"), pa.array([point(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), *(pa.array(np.ascontiguousarray(windows[:, i])) for i in range(WINDOW_LONGS))], names)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.RecordBatch]:
+    """Blocks of regions; each block goes to one partition as a whole. Made from the texts while they are shuffled, as written they would take as much again."""
     parts, known = len(keys), set()
     for b in common.pieces(batches, LETTERS):
         sets = shingle_sets(common.text_list(b))
         points = np.array([point(u) for u in sets], np.int64)
         sizes = np.array([len(u) for u in sets], np.int64)
-        windows = np.array([window(u) for u in sets], np.int64).reshape(len(sets), WINDOW_LONGS)
-        none = pa.nulls(len(sets))
-        yield pa.RecordBatch.from_arrays([common.column(b, "doc_id"), pa.array(points), pa.array(sizes), *(pa.array(np.ascontiguousarray(windows[:, i])) for i in range(WINDOW_LONGS)), none.cast(pa.int32()), none.cast(pa.binary())], names)
         ranges = size_ranges(int(sizes.max(initial=1)))
         if len(known) > 200_000:
             known.clear()
@@ -184,23 +189,23 @@ def _describe(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa
                 own, count = np.unique(owner[a:z], return_counts=True)
                 rows.append((keys[p], _pack_block(table[own], count, key[a:z])))
         k, blocks = zip(*rows)
-        null = pa.nulls(len(rows))
-        yield pa.RecordBatch.from_arrays([null.cast(common.column(b, "doc_id").type), *[null.cast(pa.int64())] * (2 + WINDOW_LONGS), pa.array(k, pa.int32()), pa.array(blocks, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(blocks, pa.binary())], ["at", "block"])
 
 
 def _pack_block(members: np.ndarray, counts: np.ndarray, key: np.ndarray) -> bytes:
     """Members, how many regions each has, and the regions' lower 48 bits in order of the members."""
     low = key.astype("<u8").view("<u2").reshape(-1, 4)[:, :3]
-    return np.array([len(members)], "<i8").tobytes() + members.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + low.tobytes()
+    width = 1 if counts.max() < 256 else 4
+    return np.array([len(members), width], "<u4").tobytes() + members.astype("<i8").tobytes() + counts.astype(f"<u{width}").tobytes() + low.tobytes()
 
 
 def _unpack_block(at: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(regions, members). A region is named by its lower 48 bits and where it was dealt; two that share a name only make more pairs to compare."""
-    n = int(np.frombuffer(block, "<i8", 1)[0])
-    low = np.frombuffer(block, "<u2", offset=8 + 12 * n).reshape(-1, 3)
+    n, width = map(int, np.frombuffer(block, "<u4", 2))
+    low = np.frombuffer(block[8 + (8 + width) * n :], "<u2").reshape(-1, 3)
     key = np.full((len(low), 4), at & 0xFFFF, "<u2")
     key[:, :3] = low
-    return key.view("<u8")[:, 0], np.repeat(np.frombuffer(block, "<i8", n, 8), np.frombuffer(block, "<u4", n, 8 + 8 * n))
+    return key.view("<u8")[:, 0], np.repeat(np.frombuffer(block, "<i8", n, 8), np.frombuffer(block, f"<u{width}", n, 8 + 8 * n))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +306,8 @@ def _join(documents: DataFrame, percent: int) -> DataFrame:
     parts = common.shuffle_partitions(spark)
     keys = common.dealt_keys(spark, parts)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    described = common.materialise(docs.mapInArrow(lambda it: _describe(it, keys), _POINT.format(id=kind)), "described")
-    rows = described.filter("block is null").drop("at", "block")
-    met = common.materialise(described.filter("block is not null").select("at", "block").repartition(parts, "at").mapInArrow(_meet, "a long, b long, kind byte"), "met")
+    rows = common.materialise(docs.mapInArrow(_describe, _POINT.format(id=kind)), "described")
+    met = common.materialise(docs.select("text").mapInArrow(lambda it: _deal(it, keys), "at int, block binary").repartition(parts, "at").mapInArrow(_meet, "a long, b long, kind byte"), "met")
     points = common.materialise(rows.filter("n > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(f"w{i}").alias(f"w{i}") for i in range(WINDOW_LONGS))), "points")
 
     def linked(pairs: DataFrame) -> DataFrame:
