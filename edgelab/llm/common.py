@@ -47,6 +47,17 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+_made: dict = {}
+
+
+def made(key, make):
+    """What an operator builds once in each Python worker. A worker that turns to another operator lets go of what it had."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = make()
+    return _made[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

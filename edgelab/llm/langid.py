@@ -42,7 +42,6 @@ class Model:
 
 
 _alpha: np.ndarray | None = None
-_built: dict[str, tuple[list[str], np.ndarray, list[np.ndarray], list[float], int]] = {}
 
 
 def _is_alpha() -> np.ndarray:
@@ -107,14 +106,15 @@ def suffix_automaton(seq: list[int], width: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _build(model: Model):
+    table, width = code_table(model.letters), len(model.letters) + 3
+    langs = sorted(model.samples)
+    seqs = [codes(model.samples[g], table).tolist() for g in langs]
+    return langs, table, [suffix_automaton(s, width) for s in seqs], [float(np.log2(max(len(s), 2))) for s in seqs], width
+
+
 def _automata(model: Model):
-    if model.key not in _built:
-        _built.clear()
-        table, width = code_table(model.letters), len(model.letters) + 3
-        langs = sorted(model.samples)
-        seqs = [codes(model.samples[g], table).tolist() for g in langs]
-        _built[model.key] = langs, table, [suffix_automaton(s, width) for s in seqs], [float(np.log2(max(len(s), 2))) for s in seqs], width
-    return _built[model.key]
+    return common.made(("langid", model.key), lambda: _build(model))
 
 
 def phrases(blocks: np.ndarray, automaton: np.ndarray, width: int) -> np.ndarray:

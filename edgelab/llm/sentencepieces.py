@@ -24,6 +24,8 @@ from .wordcoder import WordCoder
 MARK = "▁"
 #: Cost of one byte piece; below any sum of ordinary pieces over a word's characters.
 BYTE_SCORE = -1e6
+#: Bytes of text that a Python worker encodes at a time (one text at least).
+LETTERS = 1_000_000
 
 
 class PieceTable:
@@ -91,16 +93,12 @@ def shared_prefix_viterbi(words: Iterable[str], table: PieceTable) -> Iterator[t
 
 
 class Codec:
-    _by_path: dict[str, "Codec"] = {}
-
     def __init__(self, table: PieceTable):
         self.table, self.coder = table, WordCoder(self._new, "", "")
 
     @classmethod
     def of(cls, path: str) -> "Codec":
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(PieceTable.load(path))
-        return cls._by_path[path]
+        return common.made(("sentencepieces", path), lambda: cls(PieceTable.load(path)))
 
     def _new(self, words: list[str]) -> list[bytes]:
         found = {w: np.array(p, "<i4").tobytes() for w, p in shared_prefix_viterbi(words, self.table)}
@@ -124,7 +122,7 @@ class Codec:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
     codec = Codec.of(path)
-    for b in common.pieces(batches):
+    for b in common.pieces(batches, LETTERS):
         texts = common.text_list(b)
         flat, offsets = codec.encode(texts)
         ids = [flat[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
