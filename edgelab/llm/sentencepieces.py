@@ -26,6 +26,8 @@ MARK = "▁"
 BYTE_SCORE = -1e6
 #: Bytes of text that a Python worker encodes at a time (one text at least).
 LETTERS = 1_000_000
+#: Words whose ids a Python worker keeps at most.
+CACHE_WORDS = 600_000
 
 
 class PieceTable:
@@ -94,7 +96,7 @@ def shared_prefix_viterbi(words: Iterable[str], table: PieceTable) -> Iterator[t
 
 class Codec:
     def __init__(self, table: PieceTable):
-        self.table, self.coder = table, WordCoder(self._new, "", "")
+        self.table, self.coder = table, WordCoder(self._new, "", "", CACHE_WORDS)
 
     @classmethod
     def of(cls, path: str) -> "Codec":

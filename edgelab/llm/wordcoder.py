@@ -15,8 +15,8 @@ CACHE_WORDS = 1_400_000
 class WordCoder:
     """encode_new gives the ids of words not seen before, as little-endian 32-bit integers, in their order."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[bytes]], mark: str, first_mark: str):
-        self.encode_new, self.mark, self.first_mark, self.cache = encode_new, mark, first_mark, {}
+    def __init__(self, encode_new: Callable[[list[str]], Iterable[bytes]], mark: str, first_mark: str, most_words: int = CACHE_WORDS):
+        self.encode_new, self.mark, self.first_mark, self.most_words, self.cache = encode_new, mark, first_mark, most_words, {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text in it. Each text is cut at single spaces."""
@@ -31,7 +31,7 @@ class WordCoder:
             index[starts[:-1]] = len(words) + np.arange(len(firsts))
             keys += [self.first_mark + words[i] for i in firsts]
         new = list(dict.fromkeys(k for k in keys if k not in self.cache))
-        if len(self.cache) + len(new) > CACHE_WORDS:
+        if len(self.cache) + len(new) > self.most_words:
             self.cache.clear()
             new = list(dict.fromkeys(keys))
         self.cache.update(zip(new, self.encode_new(new)))
