@@ -475,7 +475,8 @@ def marked_trades(spark, sf_dir):
 @query()
 def account_evaluation(spark, sf_dir):
     """Chances of passing an account's rules when whole days are drawn at random."""
-    t = _lineitem(spark, sf_dir).filter("l_suppkey % 20 = 0").select(F.to_date("l_shipdate").alias("day"), "l_orderkey", "pnl")
+    t = _lineitem(spark, sf_dir).select(F.to_date("l_shipdate").alias("day"), "l_orderkey", "pnl")
     t = t.select("day", F.row_number().over(Window.partitionBy("day").orderBy("l_orderkey", "pnl")).cast("long").alias("exit_order"), (F.col("pnl") / 10).alias("pnl"), F.greatest(F.col("pnl") / 10, F.lit(0.0)).alias("mfe"), F.greatest(-F.col("pnl") / 10, F.lit(0.0)).alias("mae"))
-    blocks = account.day_blocks(t.select("day").distinct(), t)
-    return account.simulate_accounts(blocks, {"mll": 2000.0, "lock": 0.0, "target": 3000.0, "consistency": 0.5, "dll": None, "min_days": 2, "realtime": True}, 8_000).groupBy("status").agg(F.sum("accounts").alias("accounts"), F.avg("mean_day").alias("mean_day"))
+    rule = {"mll": 2000.0, "lock": 0.0, "target": 3000.0, "consistency": 0.5, "dll": None, "min_days": 2, "realtime": True}
+    days = account.day_results(t.select("day").distinct(), t, rule["dll"])
+    return account.simulate_accounts(days, rule, 8_000).groupBy("status").agg(F.sum("accounts").alias("accounts"), F.avg("mean_day").alias("mean_day"))

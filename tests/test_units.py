@@ -1,8 +1,13 @@
+import datetime as dt
+
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from edgelab import governance
 from edgelab.operators import account, kernels
+from edgelab.plans import registry
 
 
 def bars(rows):
@@ -37,6 +42,41 @@ def test_accounts_near_the_closed_form():
     assert abs((status == 1).mean() - account.barrier_pass(1500, 1000)) < 0.03
 
 
+def trade_by_trade(day, balance, floor, dll):
+    """Gain of a day and whether the floor broke, one trade after the other."""
+    gain = 0.0
+    for pnl, adverse in day:
+        if dll is not None and gain <= -dll:
+            break
+        if balance + gain - adverse <= floor or balance + gain + pnl <= floor:
+            return gain, True
+        gain += pnl
+    return gain, False
+
+
+@pytest.mark.parametrize("dll", [None, 60.0])
+def test_day_results_say_as_much_as_the_trades(spark, dll):
+    rng = np.random.default_rng(3)
+    pool = [[(float(p), float(max(-p, 0) + a)) for p, a in zip(rng.normal(0, 40, n), rng.exponential(10, n))] for n in rng.integers(1, 9, 30)] + [[]]
+    trades = spark.createDataFrame([(d, k, p, a) for d, b in enumerate(pool) for k, (p, a) in enumerate(b)], "day int, exit_order long, pnl double, mae double")
+    found = {r["day"]: r for r in account.day_results(spark.range(len(pool)).select(F.col("id").cast("int").alias("day")), trades, dll).collect()}
+    assert len(found) == len(pool)
+    for d, day in enumerate(pool):
+        for balance, floor in [(0.0, -50.0), (0.0, -120.0), (30.0, 0.0), (500.0, 0.0)]:
+            gain, broke = trade_by_trade(day, balance, floor, dll)
+            low = found[d]["low"]
+            assert (low is not None and balance + low <= floor) == broke
+            assert broke or found[d]["gain"] == pytest.approx(gain)
+
+
+def test_accounts_draw_from_all_trades(spark, tmp_path):
+    """No supplier number here is a multiple of 20; every day wins."""
+    rows = [(k, 1 + k % 19, dt.datetime(2024, 1, 1 + k % 10), 10_000.0, 0.15) for k in range(40)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["status"]: r["accounts"] for r in registry.QUERIES["account_evaluation"](spark, str(tmp_path)).collect()}
+    assert found == {0: 0, 1: 8_000, 2: 0}
+
+
 def test_slippage_and_folds_and_ledger_rules():
     assert account.slippage_ticks(3) == pytest.approx(0.55) and account.slippage_ticks(100) == pytest.approx(2.0 + 50 * 0.8 / 30)
     assert governance.walk_forward(100, 40, 30) == [(0, 40, 40, 70), (30, 70, 70, 100)]
