@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Letters that the character model tells apart, the most frequent of the texts; all others share one code. Bounds its table.
+ALPHABET = 100
 #: Labelled documents to learn from, at most, of each label; texts longer than this are left out of learning.
 SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 20_000
 #: A feature is used from this log-likelihood ratio on, and at most so many.
@@ -46,16 +48,32 @@ class CharModel:
     """Character trigrams with add-k smoothing over the letters seen and a word edge."""
 
     def __init__(self, words: Counter):
-        seen = Counter(c for w, n in words.items() for c in w for _ in range(min(n, 3)))
-        self.code = {c: i + 1 for i, (c, _) in enumerate(seen.most_common(100))}
-        size = len(self.code) + 2  # 0 the edge, the last any other letter
-        counts = np.full((size, size, size), 0.05)
+        """Counted from words with their numbers; see `char_model` for those of a table."""
+        seen = Counter()
         for w, n in words.items():
-            x = [0, 0, *(self.code.get(c, size - 1) for c in w), 0]
-            for a, b, c in zip(x, x[1:], x[2:]):
-                counts[a, b, c] += n
+            for c in w:
+                seen[c] += n
+        alphabet = "".join(c for c, _ in seen.most_common(ALPHABET))
+        codes, size = np.zeros(0x110000, np.uint8), len(alphabet) + 2
+        for c in seen:
+            codes[ord(c)] = alphabet.find(c) + 1 or size - 1
+        counts = np.zeros(size**3)
+        for w, n in words.items():
+            np.add.at(counts, trigrams(np.array([*map(ord, w), 32]), codes, size), n)
+        self._set(alphabet, counts)
+
+    @classmethod
+    def of(cls, alphabet: str, counts: np.ndarray) -> CharModel:
+        """alphabet: letters by code from 1; counts: of trigrams of codes, 0 the edge, the last any other letter."""
+        model = cls.__new__(cls)
+        model._set(alphabet, counts)
+        return model
+
+    def _set(self, alphabet: str, counts: np.ndarray) -> None:
+        self.code = {c: i + 1 for i, c in enumerate(alphabet)}
+        self.other = len(alphabet) + 1
+        counts = counts.reshape((self.other + 1,) * 3) + 0.05
         self.log = np.log(counts / counts.sum(axis=2, keepdims=True)).astype(np.float32)
-        self.other = size - 1
 
     def restore(self, token: str) -> str:
         """The likeliest reading of a lower-case token; letters only."""
@@ -93,6 +111,67 @@ class CharModel:
         return max((s + float(self.log[a, b, 0]), t) for (a, b), (s, t) in paths.items())[1]
 
 
+def _letters() -> np.ndarray:
+    """For each code point whether LETTERS takes it."""
+    found = np.zeros(0x110000, bool)
+    for m in LETTERS.finditer("".join(map(chr, range(0x110000)))):
+        found[m.start() : m.end()] = True
+    return found
+
+
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Code points of the lower-case texts, a space after each text."""
+    for b in common.pieces(batches):
+        text = " ".join([*common.text_list(b), ""]).lower()
+        yield np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    letters, total = common.made("toxicity-letters", _letters), np.zeros(0x110000, np.int64)
+    for points in _points(batches):
+        found = np.bincount(points)
+        total[: len(found)] += found
+    at = np.flatnonzero(total * letters)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+
+
+def trigrams(points: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
+    """Numbers (a * size + b) * size + c of the trigrams of all words, each with its edges before and after; codes: by code point, 0 no letter."""
+    c = codes[points].astype(np.int32)
+    b = np.concatenate([[0], c[:-1]]).astype(np.int32)
+    a = np.where(b > 0, np.concatenate([[0, 0], c[:-2]])[: len(c)], 0).astype(np.int32)
+    return ((a * size + b) * size + c)[(b > 0) | (c > 0)]
+
+
+def _count_trigrams(batches: Iterator[pa.RecordBatch], codes: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(size**3, np.int64)
+    for points in _points(batches):
+        total += np.bincount(trigrams(points, codes, size), minlength=size**3)
+    at = np.flatnonzero(total)
+    for k in range(0, len(at), 100_000):
+        x = at[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(total[x], pa.int64())], ["at", "n"])
+
+
+def char_model(documents: DataFrame) -> CharModel:
+    """Counted from every word of every text; each task counts its texts first, and at most (ALPHABET + 2)^3 sums come to the driver."""
+    texts, spark = documents.select("text"), documents.sparkSession
+
+    def sums(counted: DataFrame) -> DataFrame:
+        return counted.groupBy("at").agg(F.sum("n").alias("n"))
+
+    top = sums(texts.mapInArrow(_count_letters, "at long, n long")).orderBy(F.desc("n"), "at").limit(ALPHABET).collect()
+    alphabet = "".join(chr(r["at"]) for r in top)
+    size, codes = len(alphabet) + 2, np.where(_letters(), len(alphabet) + 1, 0).astype(np.uint8)
+    for i, c in enumerate(alphabet):
+        codes[ord(c)] = i + 1
+    shared = spark.sparkContext.broadcast(codes)  # a byte for each code point
+    counts = np.zeros(size**3)
+    found = sums(texts.mapInArrow(lambda it: _count_trigrams(it, shared.value, size), "at long, n long")).toArrow()
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return CharModel.of(alphabet, counts)
+
+
 def token_words(token: str, chars: CharModel | None) -> list[str]:
     """Words of a token without white space: its runs of letters and, where it may be a disguise, its likeliest reading."""
     low = token.lower()
@@ -154,10 +233,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     if not any(r["toxic"] for r in rows) or all(r["toxic"] for r in rows):
         return Model(None, {}, 50.0 if rows and share == 1 else -50.0)
-    counted: Counter = Counter()
-    for r in rows[:1500]:
-        counted.update(LETTERS.findall(r["text"].lower()))
-    chars, memo = CharModel(counted), {}
+    chars, memo = char_model(documents.filter(F.coalesce(common.fold("doc_id", folds) != held_out, F.lit(True)))), {}
     docs = []
     for r in rows:
         tokens = r["text"].split()

@@ -87,6 +87,21 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels), ["doc_id"]).count() == 0
 
 
+def test_toxicity_counts_all_texts(spark):
+    """The character model sees every document outside the held-out fold, labelled or not."""
+    texts = ["The idiot, l'été: zażółć 12 gęślą_jaźń", "", None, "ΣΊΣΥΦΟΣ ab  ab", *(f"plain text {k} abcd" for k in range(40)), *("you fool" for _ in range(40))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 44)) for k in range(4, 84)], "doc_id long, toxic int")
+    words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
+    want, got = toxicity.CharModel(words), toxicity.char_model(docs.repartition(3))
+    letters = sorted(want.code)
+    assert letters == sorted(got.code)
+    order = [[0, *(m.code[c] for c in letters)] for m in (want, got)]
+    assert np.allclose(*(m.log[np.ix_(o, o, o)] for m, o in zip((want, got), order)))
+    kept = {c for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 3 != 1 for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for c in w}
+    assert set(toxicity.fit(docs, labels).chars.code) == kept and kept & set("żσ")
+
+
 def test_token_orc(spark):
     path = common.fresh_path(spark, "t")
     docs = odd(spark)
