@@ -1,9 +1,11 @@
 """Toxicity: noisy-channel restoration of disguised words, then a classifier of the restored text.
 
-A word with digits or signs inside, with letters three times in a row, or spelled with spaces between its letters is a
-lattice: each character stands for itself or the letters it imitates, separators may vanish, runs may shrink. A Viterbi
-search under a character trigram model finds the likeliest reading. Any other word has one path only, itself, and is
-taken as it is. A logistic model over words and word beginnings of the restored text gives the score.
+A word with digits or signs in it, with letters three times in a row, or a run of short tokens, as in words spelled with
+spaces between their letters, is a lattice: each character stands for itself or the letters it imitates, what is not a
+letter may vanish or end a word, runs may shrink. A Viterbi search under a character trigram model finds the likeliest
+reading, and the likeliest one in which whatever can imitate a letter does, unless the token is a number. Any other word
+has one path only, itself, and is taken as it is. A logistic model over words and word beginnings of the restored text
+gives the score.
 
 Null and empty texts are scored by the intercept alone. Labels are read as the largest per doc_id where a document has
 several. Extra columns are ignored; an empty table gives an empty result; without labels every score is 0.
@@ -34,11 +36,15 @@ LEAST_G2, MOST_FEATURES = 25.0, 2_000
 COVER = 4
 #: Characters as imitations of letters (fixed values).
 IMITATIONS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-SEPARATORS = ".-_*~'`^·"
 # Log costs of the channel: imitation, vanished separator, shortened run.
 IMITATE, VANISH, SHRINK = -1.0, -0.7, -0.5
 LETTERS = re.compile(r"[^\W\d_]+")
-_EDGES = re.compile(r"^[^\w@$]+|\W+$")
+_SIGNS = "".join(c for c in IMITATIONS if not c.isalnum())
+_KEPT = re.escape(_SIGNS)
+#: Signs at the ends of a token that imitate no letter.
+_EDGES = re.compile(rf"^[^\w{_KEPT}]+|[^\w{_KEPT}]+$")
+#: A run of tokens of at most SHORT characters between such signs is one lattice if so many are of one character.
+SHORT, LEAST_SINGLE = 2, 3
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 #: Tokens whose features a Python worker keeps at most.
 CACHE_WORDS = 300_000
@@ -75,16 +81,18 @@ class CharModel:
         counts = counts.reshape((self.other + 1,) * 3) + 0.05
         self.log = np.log(counts / counts.sum(axis=2, keepdims=True)).astype(np.float32)
 
-    def restore(self, token: str) -> str:
-        """The likeliest reading of a lower-case token; letters only."""
-        runs, last = [], ""
+    def restore(self, token: str, imitated: bool = False) -> str:
+        """The likeliest reading of lower-case tokens with spaces between them: letters, and a space between words.
+
+        imitated: whatever can imitate a letter does."""
+        runs = []
         for c in token:  # runs of three or more equal letters may stand for one or two
-            if c == last:
+            if runs and c == runs[-1][0]:
                 runs[-1][1] += 1
             else:
                 runs.append([c, 1])
-                last = c
-        paths = {(0, 0): (0.0, "")}
+        log, size, code, other = self.log.item, self.other + 1, self.code, self.other
+        paths = {(0, 0): (0.0, None)}  # by the last two codes: score, and (what came before, letters)
         for c, n in runs:
             options: list[tuple[str, float]] = []
             if c.isalpha():
@@ -95,20 +103,30 @@ class CharModel:
                 options += [(x * min(n, 2), IMITATE * n) for x in IMITATIONS[c]]
                 if n >= 3:
                     options += [(x, IMITATE * n) for x in IMITATIONS[c]]
-            if c in SEPARATORS or c == " " or not c.isalpha():
-                options.append(("", VANISH * n))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            if not c.isalpha() and not (imitated and c in IMITATIONS):
+                options += [("", VANISH * n), (" ", 0.0 if c == " " else VANISH)]
+            coded = [(letters, [code.get(d, other) if d != " " else 0 for d in letters], cost) for letters, cost in options]
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, text) in paths.items():
-                for letters, cost in options:
+                for letters, codes, cost in coded:
                     x, y, s = a, b, score + cost
-                    for d in letters:
-                        z = self.code.get(d, self.other)
-                        s += float(self.log[x, y, z])
-                        x, y = y, z
-                    if (x, y) not in new or s > new[x, y][0]:
-                        new[x, y] = s, text + letters
+                    for z in codes:
+                        if z:
+                            s += log((x * size + y) * size + z)
+                            x, y = y, z
+                        elif y:  # the word ends
+                            s += log((x * size + y) * size)
+                            x, y = 0, 0
+                    old = new.get((x, y))
+                    if old is None or s > old[0]:
+                        new[x, y] = s, (text, letters) if letters else text
             paths = new
-        return max((s + float(self.log[a, b, 0]), t) for (a, b), (s, t) in paths.items())[1]
+        text = max(((s + (log((a * size + b) * size) if b else 0.0), k) for k, ((a, b), (s, _)) in enumerate(paths.items())))[1]
+        at, out = [t for _, t in paths.values()][text], []
+        while at is not None:
+            at, letters = at
+            out.append(letters)
+        return " ".join("".join(reversed(out)).split())
 
 
 def _letters() -> np.ndarray:
@@ -173,27 +191,36 @@ def char_model(documents: DataFrame) -> CharModel:
 
 
 def token_words(token: str, chars: CharModel | None) -> list[str]:
-    """Words of a token without white space: its runs of letters and, where it may be a disguise, its likeliest reading."""
+    """Words of a token, or of tokens spelled with spaces: its runs of letters and, where it may be a disguise, its likeliest reading."""
     low = token.lower()
     if low.isalpha() and not _THRICE.search(low):
         return [low]
     words = LETTERS.findall(low)
     core = _EDGES.sub("", low)
-    if chars is not None and 3 <= len(core) <= 40 and len(words) and (not core.isalpha() or _THRICE.search(core)):
-        words.append(chars.restore(core))
+    if chars is not None and len(core) > 1 and (not core.isalpha() or _THRICE.search(core)):
+        words += chars.restore(core).split()
+        if any(c in IMITATIONS for c in core) and any(c.isalpha() or c in _SIGNS for c in core):
+            words += chars.restore(core, imitated=True).split()
     return words
 
 
-def spelled(tokens: list[str]) -> list[str]:
-    """Runs of four or more one-letter tokens, joined."""
-    out, run = [], []
-    for t in [*tokens, ""]:
-        if len(t) == 1 and t.isalpha():
+def core_size(token: str) -> int:
+    """Characters between signs at the ends that imitate no letter."""
+    return len(_EDGES.sub("", token)) if len(token) <= 4 * SHORT else SHORT + 1
+
+
+def spelled(tokens: list[str], between: str = "") -> list[str]:
+    """Runs of tokens of at most SHORT characters with LEAST_SINGLE of one character, joined."""
+    out, run, single = [], [], 0
+    for t in [*tokens, "x" * (SHORT + 1)]:
+        size = core_size(t)
+        if size <= SHORT:
             run.append(t)
+            single += size == 1
         else:
-            if len(run) >= 4:
-                out.append("".join(run))
-            run = []
+            if single >= LEAST_SINGLE:
+                out.append(between.join(run))
+            run, single = [], 0
     return out
 
 
@@ -238,7 +265,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
     for r in rows:
         tokens = r["text"].split()
         words = set()
-        for t in {*tokens, *spelled(tokens)}:
+        for t in {*tokens, *spelled(tokens, " ")}:
             if t not in memo:
                 memo[t] = token_words(t, chars)
             words.update(memo[t])
@@ -308,16 +335,19 @@ class Scorer:
         offsets = rows.offsets.to_numpy().astype(np.int64) - rows.offsets[0].as_py()
         index = coded.indices.to_numpy(zero_copy_only=False)
         tokens = coded.dictionary.to_pylist()
-        single = np.fromiter((len(t) == 1 and t.isalpha() for t in tokens), bool, len(tokens))
+        sizes = np.fromiter(map(core_size, tokens), np.int64, len(tokens))
         found = [self.token(t) for t in tokens]
         has = np.fromiter((bool(f) for f in found), bool, len(tokens))
         at = np.flatnonzero(has[index])
         hits = {(int(d), f) for d, t in zip(np.searchsorted(offsets, at, "right") - 1, index[at]) for f in found[t]}
-        alone = single[index]
-        four = np.flatnonzero(alone[:-3] & alone[1:-2] & alone[2:-1] & alone[3:]) if len(alone) > 3 else []
-        for d in set((np.searchsorted(offsets, four, "right") - 1).tolist()) if len(four) else ():
-            for word in spelled([tokens[i] for i in index[offsets[d] : offsets[d + 1]]]):
-                hits.update((d, f) for f in self.token(word))
+        size = sizes[index]
+        short, doc = size <= SHORT, np.repeat(np.arange(len(texts)), np.diff(offsets))
+        first = short & np.concatenate([[True], ~short[:-1] | (doc[1:] != doc[:-1])])[: len(short)]
+        starts = np.flatnonzero(first)
+        if len(starts):
+            held, alone = np.diff([*np.flatnonzero(first[short]), short.sum()]), np.add.reduceat((size == 1)[short], np.flatnonzero(first[short]), dtype=np.int64)
+            for at, n in zip(starts[alone >= LEAST_SINGLE].tolist(), held[alone >= LEAST_SINGLE].tolist()):
+                hits.update((int(doc[at]), f) for f in self.token(" ".join([tokens[i] for i in index[at : at + n]])))
         z = np.full(len(texts), self.model.bias)
         if hits:
             docs, feats = np.array(sorted(hits)).T

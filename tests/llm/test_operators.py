@@ -102,6 +102,21 @@ def test_toxicity_counts_all_texts(spark):
     assert set(toxicity.fit(docs, labels).chars.code) == kept and kept & set("żσ")
 
 
+def test_toxicity_spacing_and_edges():
+    words = "you idiot are such an clown moron dumbass the nothing little what a ass is it of to be in".split()
+    chars = toxicity.CharModel(Counter({w: 50 for w in words}))
+    for tokens, want in {
+        "y o u i d i o t": {"you", "idiot"}, "i d i o t.": {"idiot"}, "i d 1 o t": {"idiot"}, "a s s": {"ass"}, "id i o t": {"idiot"},
+        "!diot": {"idiot"}, "(lown": {"clown"}, "idio+": {"idiot"}, "dumba$$": {"dumbass"}, "@$$": {"ass"}, "you_are_an_" * 5 + "!d!0t": {"you", "are", "an", "idiot"}, "you_are_an_!d!0t": {"you", "are", "an", "idiot"},
+    }.items():
+        found = {w for t in [*tokens.split(), *toxicity.spelled(tokens.split(), " ")] for w in toxicity.token_words(t, chars)}
+        assert want <= found, tokens
+        model = toxicity.Model(chars, {w: 1.0 for w in want}, 0.0)
+        z = toxicity.Scorer(model).scores(pa.array(["so b", tokens, None, f"the {tokens} nothing", "c d"]))
+        assert np.allclose(np.log(z / (1 - z)), [0, len(want), 0, len(want), 0]), tokens
+    assert "ass" not in toxicity.token_words("455", chars) and toxicity.spelled("it is of a to".split()) == []
+
+
 def test_token_orc(spark):
     path = common.fresh_path(spark, "t")
     docs = odd(spark)
