@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,8 +116,8 @@ def block_sums(trials: DataFrame, blocks: int) -> DataFrame:
 
 def combinations(spark, blocks: int) -> DataFrame:
     """(combo, block, inside) for every choice of half the blocks."""
-    rows = [(k, b, b in c) for k, c in enumerate(itertools.combinations(range(blocks), blocks // 2)) for b in range(blocks)]
-    return spark.createDataFrame(rows, "combo int, block long, inside boolean")
+    masks = spark.range(1 << blocks).filter(F.bit_count("id") == blocks // 2).select(F.col("id").cast("int").alias("combo"))
+    return masks.select("combo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).withColumn("inside", F.getbit("combo", F.col("block").cast("int")) == 1)
 
 
 def cscv_splits(sums: DataFrame, combos: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -77,6 +78,30 @@ def test_accounts_draw_from_all_trades(spark, tmp_path):
     assert found == {0: 0, 1: 8_000, 2: 0}
 
 
+def test_inference_queries_have_the_reference_sizes(spark):
+    """p-values can fall to 1/301, and all 12,870 splits of 16 blocks count."""
+    found = registry.QUERIES["family_pvalues"](spark, "/root/testdata/sf0.001").first()
+    assert found["permutations"] == 300 and found["p_max"] >= 1 / 301 - 1e-5
+    got = registry.QUERIES["backtest_overfitting_full"](spark, "/root/testdata/sf0.001").first()
+    t = pd.read_parquet("/root/testdata/sf0.001/lineitem.parquet")
+    t = t.assign(pnl=t.l_extendedprice * (t.l_discount - 0.05), cfg=t.l_suppkey % 9, t=(t.l_shipdate.dt.year - 1995) * 12 + t.l_shipdate.dt.month - 1)
+    m = t.groupby(["cfg", "t"]).pnl.sum().unstack(0)
+    size = (int(t.t.max()) + 1) // 16
+    blocks = [m[(m.index >= k * size) & (m.index < (k + 1) * size)] for k in range(16)]
+    n, x, xx = (np.array([f(b) for b in blocks]) for f in (lambda b: b.count(), lambda b: b.sum(), lambda b: (b * b).sum()))
+    below, best = 0, []
+    for c in itertools.combinations(range(16), 8):
+        sides = []
+        for side in (list(c), [k for k in range(16) if k not in c]):
+            a, b, d = n[side].sum(0), x[side].sum(0), xx[side].sum(0)
+            sides.append(b / a / np.sqrt((d - b * b / a) / (a - 1)))
+        w = int(np.argmax(sides[0]))
+        best.append(sides[0][w])
+        below += (sides[1] <= sides[1][w]).sum() / 10 <= 0.5
+    assert got["combinations"] == 12_870 == len(best)
+    assert got["pbo"] == pytest.approx(below / 12_870, abs=1e-4) and got["is_median"] == pytest.approx(np.median(best), abs=1e-4)
+
+
 def test_slippage_and_folds_and_ledger_rules():
     assert account.slippage_ticks(3) == pytest.approx(0.55) and account.slippage_ticks(100) == pytest.approx(2.0 + 50 * 0.8 / 30)
     assert governance.walk_forward(100, 40, 30) == [(0, 40, 40, 70), (30, 70, 70, 100)]
