@@ -40,6 +40,8 @@ BROADCAST_IDS = 500_000
 #: Letters of text that a Python worker describes or compares at a time (one text at least), and rows it is sent at a time.
 LETTERS, ROWS = 400_000, 500
 WINDOW_LONGS = 16
+#: The column of row keys in keep_one.
+_ROW = "edgelab_row"
 _U = np.uint64
 
 
@@ -325,7 +327,10 @@ def _join(documents: DataFrame, percent: int) -> DataFrame:
         """Those of the pairs whose texts link."""
         ids = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
         few = ids.count() <= BROADCAST_IDS
-        texts = common.materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_compress, "point long, packed binary"), "texts")
+        found = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        if not ids.filter("doc_id is null").isEmpty():  # texts that only rows with a null doc_id have
+            found = found.unionByName(docs.filter("doc_id is null"))
+        texts = common.materialise(found.mapInArrow(_compress, "point long, packed binary"), "texts")
         if not texts.groupBy("point").count().filter("count > 1").isEmpty():  # a doc_id that several rows have
             texts = common.materialise(texts.dropDuplicates(["point"]), "texts")
         left = texts.select(F.col("point").alias("a"), F.col("packed").alias("text_a")).join(F.broadcast(pairs.select("a", "b")) if pairs.count() <= BROADCAST_IDS else pairs.select("a", "b"), "a")
@@ -350,6 +355,10 @@ def _join(documents: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id names their component: one of each group."""
-    chosen = join_components(documents, percent).filter("doc_id = component_id").select("doc_id")
-    return documents.join(common.materialise(chosen, "kept").distinct(), "doc_id", "left_semi").select(*documents.columns)
+    """One row of each component. Rows with a null doc_id count as any other, rows without shingles are alone."""
+    spark = documents.sparkSession
+    # A key of each row's own stands for doc_id; it is written down, so that it is the same whenever it is read.
+    keyed = common.materialise(documents.withColumn(_ROW, F.monotonically_increasing_id()), "keyed")
+    found = join_components(keyed.select(F.col(_ROW).alias("doc_id"), "text"), percent)
+    chosen = common.materialise(found.filter("doc_id = component_id").select(F.col("doc_id").alias(_ROW)), "kept")
+    return keyed.join(chosen, _ROW, "left_semi").select(*documents.columns)

@@ -175,6 +175,20 @@ def test_jaccard(spark):
     assert jaccard.keep_one(odd(spark)).filter("doc_id = 6").count() == 0 and jaccard.join_components(odd(spark).limit(0)).count() == 0
 
 
+def test_keep_one_row_of_each_component(spark):
+    rows = [(None, "alone with a null id a b c"), (None, "x y z twice under null ids"), (None, "x y z twice under null ids"), (1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (3, "of its own a b c d"), (4, None), (5, "")]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r["text"] or "" for r in got) == sorted(["", "", *{t for _, t in rows if t}])
+
+
+def test_null_ids_keep_their_links(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(None, " ".join(words)), (7, " ".join([*words[:-1], "other"])), (8, "nothing like the rest at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.join_components(docs).collect()} == {(None, 7), (7, 7), (8, 8)}
+    assert jaccard.keep_one(docs).count() == 2
+
+
 def test_licences(spark):
     rows = [(1, "Copyright 2020 Someone\n" + licences.MIT_BODY.upper().replace(",", "")), (2, "Text.\nReleased under the MIT Licence!\nmore"), (3, None), (4, ""), (5, licences.ISC_BODY + " extra")]
     got = {r["doc_id"]: r for r in licences.scan(odd(spark, rows)).collect()}
