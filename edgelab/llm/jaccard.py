@@ -1,18 +1,27 @@
 """Exact Jaccard join of word shingles by metric-space partitioning with pivots.
 
 Jaccard distance is a metric, but between texts that share nothing all distances are 1, and no document tells two others
-apart: windows around document pivots would hold everything. So the first pivots are parts of sets. The hash universe of
-shingles is cut into m classes, and what a document has in a class is its part; a pivot is one (class, part), and the
-documents at distance 0 from it within the class are its region. Linked sets differ in at most
-delta = (1-t)/(1+t) * (n+n') shingles, so with m > delta classes at least m - delta parts of both are the same: replicating
-a document into the regions of all its parts (and, at the edge of its size range, also into those of the range below) loses
-no link. Within a region, the least member is the next pivot: all others are compared with it, those within the threshold
-form one component with it, and only what lies in different components goes on, behind triangle windows: the distances
-of two documents to a common set of pivots (1,024 classes, each counted modulo 2) differ in no more than delta. What
-passes them is compared exactly.
-
-A region never travels with its texts; only pairs that pass the windows do, compressed. Of those, one pair of each point is
-compared first; pairs that its links have joined already need no comparison. Copies (equal sets) are one point.
+apart: windows around document pivots would hold everything (figures in the README). So less is asked of the top level:
+its pivots are parts of sets. The hash universe of shingles is cut into m classes, and what a document has in a class is
+its part; a pivot is one (class, part), and the documents at distance 0 from it within the class are its region. Linked
+sets differ in at most delta = (1-t)/(1+t) * (n+n') shingles, so with m > delta classes at least m - delta parts of both
+are the same: replicating a document into the regions of all its parts (and, at the edge of its size range, also into
+those of the range below) loses no link.
+
+Below that, regions join recursively with documents as pivots:
+
+1. The least member of a region is its first pivot: all others are compared with it, and those within the threshold are
+   contracted to one component with it. The pivot is then done.
+2. A pair that has met no such pivot shares at least s regions in which neither is the pivot, s being what the pigeonhole
+   leaves when m - delta parts are shared. So a document stays in all but its s - 1 largest regions, and one with fewer
+   than s of them leaves all (rows of ids only; no texts travel).
+3. Regions that still hold two components are joined in the metric space of sketches (1,024 classes, counted modulo 2:
+   their Hamming distance is at most the symmetric difference). Pivots cut a region into Voronoi cells; a document is
+   replicated into each cell whose pivot is no farther than its own by twice the largest difference of a link
+   (triangle inequality); cells join the same way until they are small, large ones over many tasks. Of each two components that meet
+   in a cell the nearest pair is compared exactly, links are contracted, then more, and at last all that are left.
+
+A region never travels with its texts; only pairs that pass the windows do, compressed. Copies (equal sets) are one point.
 
 Null and empty texts have no shingles and link with nothing. Texts with fewer words than a shingle are one shingle, the
 whole sequence. Repeated doc_ids keep one row each and share the component of their texts; a null doc_id gets a component
@@ -28,7 +37,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,6 +49,9 @@ BROADCAST_IDS = 500_000
 #: Letters of text that a Python worker describes or compares at a time (one text at least), and rows it is sent at a time.
 LETTERS, ROWS = 400_000, 500
 WINDOW_LONGS = 16
+#: Members of a cell that one task joins (a region with more is cut over many tasks first), members compared without more
+#: pivots, pivots of a level, levels of distributed cuts, and how many pairs of two components are compared in each round (None: all).
+CELL, SMALL, PIVOTS, LEVELS, NEAREST = 1024, 48, 6, 3, (1, 64, None)
 #: The column of row keys in keep_one.
 _ROW = "edgelab_row"
 _U = np.uint64
@@ -113,12 +125,12 @@ def size_ranges(longest: int, percent: int = PERCENT) -> list[int]:
     return out
 
 
-def regions(u: np.ndarray, ranges: list[int], percent: int = PERCENT) -> np.ndarray:
-    """The regions of a set: hashes of (size range, class, part)."""
+def regions(u: np.ndarray, ranges: list[int], percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The regions of a set, as hashes of (size range, class, part), and how many of them any linked set surely shares."""
     n = len(u)
     b = int(np.searchsorted(ranges, n, "right")) - 1
     mixed = mix(u ^ _U(0xA5A5A5A5A5A5A5A5))
-    out = []
+    out, shared = [], []
     for r in (b, b - 1):
         if r < 0 or (r < b and n * percent > 100 * (ranges[b] - 1)):
             continue
@@ -132,8 +144,10 @@ def regions(u: np.ndarray, ranges: list[int], percent: int = PERCENT) -> np.ndar
         np.add.at(content, part, mixed)
         filled = np.bincount(part, minlength=m) > 0
         keys = mix(content + mix(np.arange(m, dtype=_U) + _U(r) * _U(0x100000001)))
-        out.append(keys if m - filled.sum() >= m - delta else keys[filled])  # parts that are empty count only where nothing else need be shared
-    return np.concatenate(out) if out else np.zeros(0, _U)
+        empty = m - int(filled.sum())
+        out.append(keys if empty >= m - delta else keys[filled])  # parts that are empty count only where nothing else need be shared
+        shared.append(1 if empty >= m - delta else m - delta - empty)
+    return (np.concatenate(out), min(shared)) if out else (np.zeros(0, _U), 1)
 
 
 def window(u: np.ndarray) -> np.ndarray:
@@ -174,7 +188,8 @@ def _deal(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Rec
             if sizes[i] and p not in known:
                 known.add(p)
                 fresh.append(i)
-        found = [regions(sets[i], ranges) for i in fresh]
+        both = [regions(sets[i], ranges) for i in fresh]
+        found, shared = [f for f, _ in both], np.array([min(n, 255) for _, n in both], np.uint8)
         if not found or not sum(map(len, found)):
             continue
         key = np.concatenate(found)
@@ -189,64 +204,162 @@ def _deal(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Rec
             a, z = cut[p], cut[p + 1]
             if z > a:
                 own, count = np.unique(owner[a:z], return_counts=True)
-                rows.append((keys[p], _pack_block(table[own], count, key[a:z])))
+                rows.append((keys[p], _pack_block(table[own], shared[own], count, key[a:z])))
         k, blocks = zip(*rows)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(blocks, pa.binary())], ["at", "block"])
 
 
-def _pack_block(members: np.ndarray, counts: np.ndarray, key: np.ndarray) -> bytes:
-    """Members, how many regions each has, and the regions' lower 48 bits in order of the members."""
+def _pack_block(members: np.ndarray, shared: np.ndarray, counts: np.ndarray, key: np.ndarray) -> bytes:
+    """Members, what each shares with any link, how many regions each has, and the regions' lower 48 bits in order of the members."""
     low = key.astype("<u8").view("<u2").reshape(-1, 4)[:, :3]
     width = 1 if counts.max() < 256 else 4
-    return np.array([len(members), width], "<u4").tobytes() + members.astype("<i8").tobytes() + counts.astype(f"<u{width}").tobytes() + low.tobytes()
+    return np.array([len(members), width], "<u4").tobytes() + members.astype("<i8").tobytes() + shared.tobytes() + counts.astype(f"<u{width}").tobytes() + low.tobytes()
 
 
-def _unpack_block(at: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(regions, members). A region is named by its lower 48 bits and where it was dealt; two that share a name only make more pairs to compare."""
+def _unpack_block(at: int, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(regions, members, shared). A region is named by its lower 48 bits and where it was dealt; two that share a name only make more pairs to compare."""
     n, width = map(int, np.frombuffer(block, "<u4", 2))
-    low = np.frombuffer(block[8 + (8 + width) * n :], "<u2").reshape(-1, 3)
+    low = np.frombuffer(block[8 + (9 + width) * n :], "<u2").reshape(-1, 3)
     key = np.full((len(low), 4), at & 0xFFFF, "<u2")
     key[:, :3] = low
-    return key.view("<u8")[:, 0], np.repeat(np.frombuffer(block, "<i8", n, 8), np.frombuffer(block, f"<u{width}", n, 8 + 8 * n))
+    counts = np.frombuffer(block, f"<u{width}", n, 8 + 9 * n)
+    return key.view("<u8")[:, 0], np.repeat(np.frombuffer(block, "<i8", n, 8), counts), np.repeat(np.frombuffer(block, "u1", n, 8 + 8 * n), counts)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the regions dealt here: pairs (least member, other member), and the members of regions of three and more, each set of members once."""
+    """Of the regions dealt here: pairs (least member, other member), and the other members of regions of three and more.
+    Regions with the same members are named once, with how many they are."""
     got = [_unpack_block(at, x) for b in batches for at, x in zip(common.column(b, "at").to_pylist(), common.column(b, "block").to_pylist())]
     if not got:
         return
-    key, member = (np.concatenate(x) for x in zip(*got))
+    key, member, shared = (np.concatenate(x) for x in zip(*got))
     del got
     order = np.lexsort((member, key))
-    key, member = key[order], member[order]
+    key, member, shared = key[order], member[order], shared[order]
     keep = np.ones(len(key), bool)
     keep[1:] = (key[1:] != key[:-1]) | (member[1:] != member[:-1])
-    key, member = key[keep], member[keep]
+    key, member, shared = key[keep], member[keep], shared[keep]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([start, [len(key)]]))
     several = np.repeat(size >= 2, size)
-    key, member = key[several], member[several]
+    key, member, shared = key[several], member[several], shared[several]
     if not len(key):
         return
     size = size[size >= 2]
     start = np.cumsum(size) - size
     with np.errstate(over="ignore"):
         content = np.add.reduceat(mix(member.view(_U)), start)
-    _, one = np.unique(np.stack([content, size.astype(_U)]), axis=1, return_index=True)
+    _, one, times = np.unique(np.stack([content, size.astype(_U)]), axis=1, return_index=True, return_counts=True)
     chosen = np.zeros(len(size), bool)
     chosen[one] = True
+    repeated = np.zeros(len(size), np.int32)
+    repeated[one] = times
     keep = np.repeat(chosen, size)
-    region, member, size = np.repeat(key[start].view(np.int64), size)[keep], member[keep], size[chosen]
+    region, member, shared, size, repeated = np.repeat(key[start].view(np.int64), size)[keep], member[keep], shared[keep], size[chosen], repeated[chosen]
     start = np.cumsum(size) - size
     least = np.repeat(member[start], size)
     other = np.ones(len(member), bool)
     other[start] = False
     pairs = np.unique(np.stack([least[other], member[other]]), axis=1)
-    large = np.repeat(size >= 3, size)
-    for a, b, kind in ((pairs[0], pairs[1], 0), (region[large], member[large], 1)):
+    large = np.repeat(size >= 3, size) & other
+    rows = [np.zeros(pairs.shape[1], np.int32)] * 3, [x.astype(np.int32)[large] for x in (shared, np.repeat(repeated, size), np.repeat(size, size))]
+    for a, b, kind, extra in ((pairs[0], pairs[1], 0, rows[0]), (region[large], member[large], 1, rows[1])):
         for i in range(0, len(a), 200_000):
-            x, y = a[i : i + 200_000], b[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), kind, np.int8))], ["a", "b", "kind"])
+            x = [c[i : i + 200_000] for c in (a, b, np.full(len(a), kind, np.int8), *extra)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["a", "b", "kind", "shared", "times", "size"])
+
+
+def _reach(n: np.ndarray, percent: int) -> np.ndarray:
+    """The largest symmetric difference of a set of n and a set linked with it."""
+    return (n + n * 100 // percent) * (100 - percent) // (100 + percent)
+
+
+def _near(words: np.ndarray, n: np.ndarray, component: np.ndarray, core: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of members in different components that pass the windows, one of them at home in the cell, and the distances of
+    their sketches. Cells are cut by pivots until they are small, or pivots no longer part them."""
+    out = []
+
+    def distances(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(words[i][:, None, :] ^ words[j][None, :, :]).sum(axis=2, dtype=np.int32)
+
+    def compare(members: np.ndarray, home: np.ndarray) -> None:
+        for a in range(0, len(members), 256):
+            i = members[a : a + 256]
+            for c in range(a, len(members), 256):
+                j = members[c : c + 256]
+                d = distances(i, j)
+                total = n[i][:, None] + n[j][None, :]
+                ok = (d * (100 + percent) <= total * (100 - percent)) & (component[i][:, None] != component[j][None, :]) & (home[a : a + 256][:, None] | home[c : c + 256][None, :])
+                ok &= 100 * np.minimum(n[i][:, None], n[j][None, :]) >= percent * np.maximum(n[i][:, None], n[j][None, :])
+                if a == c:
+                    ok &= np.triu(np.ones(ok.shape, bool), 1)
+                x, y = np.nonzero(ok)
+                out.append((i[x], j[y], d[x, y]))
+
+    def join(members: np.ndarray, home: np.ndarray) -> None:
+        if not home.any() or (component[members] == component[members[0]]).all():
+            return
+        if len(members) <= SMALL:
+            return compare(members, home)
+        # Pivots far from each other: the first member, then always the one farthest from those before.
+        pivots, far = [0], None
+        for _ in range(PIVOTS - 1):
+            d = distances(members[pivots[-1:]], members)[0]
+            far = d if far is None else np.minimum(far, d)
+            pivots.append(int(far.argmax()))
+        d = distances(members, members[pivots])
+        own = d.argmin(axis=1)
+        window = d.min(axis=1) + 2 * _reach(n[members], percent)
+        held = d <= window[:, None]
+        if held.sum() > 2 * len(members):
+            return compare(members, home)
+        for p in range(PIVOTS):
+            cell = held[:, p]
+            join(members[cell], home[cell] & (own[cell] == p))
+
+    join(np.arange(len(n)), core)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _join_cells(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
+    """Of cells that come one after another: for each two components the nearest pairs (all where nearest is None), each pair
+    once a batch, and the region as `more` where there were more of them."""
+    names = ["cell", "region", "point", "component", "n", "core", *(f"w{i}" for i in range(WINDOW_LONGS))]
+
+    def done(rows: np.ndarray) -> pa.RecordBatch:
+        region, point, component, n, core, words = rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4], rows[:, 5] > 0, np.ascontiguousarray(rows[:, 6:]).view(_U)
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+        found = [[], [], []]
+        for a, z in zip(starts[:-1], starts[1:]):
+            i, j, d = _near(words[a:z], n[a:z], component[a:z], core[a:z], percent)
+            if not len(i):
+                continue
+            i, j = i + a, j + a
+            low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+            order = np.lexsort((point[i] ^ point[j], d, high, low))
+            first = np.flatnonzero(np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate([first, [len(order)]])))
+            take = np.ones(len(order), bool) if nearest is None else rank < nearest
+            last = np.zeros(len(order), bool)
+            if nearest is not None:
+                last[:-1] = (rank[:-1] == nearest - 1) & (rank[1:] == nearest)
+            i, j, more = i[order][take], j[order][take], last[take]
+            for k, x in enumerate((np.minimum(point[i], point[j]), np.maximum(point[i], point[j]), np.where(more, region[i], 0))):
+                found[k].append(x)
+        pairs = np.unique(np.stack([np.concatenate(x) for x in found]), axis=1) if found[0] else np.zeros((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2], mask=pairs[2] == 0)], ["a", "b", "more"])
+
+    held = np.zeros((0, len(names)), np.int64)
+    for b in batches:
+        rows = np.stack([common.column(b, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], axis=1)
+        rows = np.concatenate([held, rows])
+        last = np.flatnonzero(rows[:, 0] != rows[-1, 0]) if len(rows) else []
+        cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on
+        if cut:
+            yield done(rows[:cut])
+        held = rows[cut:]
+    if len(held):
+        yield done(held)
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +409,71 @@ def _window_holds(a: str, b: str, percent: int):
     return (small * 100 >= large * percent) & (bits * (100 + percent) <= (small + large) * (100 - percent))
 
 
+def _left_over(met: DataFrame) -> DataFrame:
+    """(region, point) of what may link with another member than the region's first pivot. Two that do and have met no first
+    pivot share `shared` regions at least, so under one order of regions they also meet in one that is not among the last shared - 1 of either."""
+    rows = met.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("point"), "shared", "times", "size")
+    w = Window.partitionBy("point")
+    ordered = w.orderBy("size", "region")
+    counted = rows.withColumn("all", F.sum("times").over(w)).withColumn("upto", F.sum("times").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).withColumn("least", F.min("shared").over(w))
+    return counted.filter("upto - times <= all - least").select("region", "point")
+
+
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of those groups that hold more than one component."""
+    several = rows.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(key)
+    return rows.join(several, key)
+
+
+def _cut(active: DataFrame, percent: int) -> DataFrame:
+    """Cells of at most about CELL members, each whole in one partition and in order. Regions with more are cut into Voronoi
+    cells by pivots, with triangle windows; what pivots don't part goes in blocks: the largest component against the others."""
+    words = [f"w{i}" for i in range(WINDOW_LONGS)]
+    cells = active.select(F.col("region").alias("cell"), "region", "point", "component", "n", F.lit(1).alias("core"), *words)
+    small, level = [], 0
+    while True:
+        sized = cells.join(cells.groupBy("cell").agg(F.count("*").alias("size")), "cell")
+        small.append(sized.filter(F.col("size") <= CELL).drop("size"))
+        large = sized.filter(F.col("size") > CELL)
+        if large.isEmpty():
+            break
+        if level == LEVELS:
+            small.append(_blocks(large.drop("size")))
+            break
+        level += 1
+        large = common.materialise(large.drop("size"), "large-cells")
+        # Pivots by hash, one of each of PIVOTS shares of the members, so that no group is gathered.
+        mark = F.xxhash64("point", F.lit(level))
+        share = large.groupBy("cell", F.pmod(mark, F.lit(PIVOTS)).alias("share")).agg(F.min_by(F.array(*words), mark).alias("words"))
+        pivots = share.groupBy("cell").agg(F.sort_array(F.collect_list("words")).alias("pivots"))
+        differ = F.transform("pivots", lambda p: reduce(lambda x, y: x + y, [F.bit_count(p[i].bitwiseXOR(F.col(w))) for i, w in enumerate(words)]))
+        dealt = large.join(pivots, "cell").withColumn("far", differ).drop("pivots").withColumn("near", F.array_min("far"))
+        reach = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent))
+        if dealt.agg(F.sum(F.size(F.filter("far", lambda d: d <= F.col("near") + 2 * reach)))).first()[0] > 2 * large.count():
+            small.append(_blocks(large))  # the windows hold too much: pivots do not part these
+            break
+        dealt = dealt.select("*", F.posexplode("far").alias("at", "distance")).filter(F.col("distance") <= F.col("near") + 2 * reach)
+        home = (F.col("core") == 1) & (F.col("at") == F.array_position("far", F.col("near")) - 1)
+        cells = _mixed(dealt.select(F.xxhash64("cell", "at").alias("cell"), "region", "point", "component", "n", home.cast("int").alias("core"), *words), "cell")
+        cells = common.materialise(cells, "cells")
+    whole = reduce(DataFrame.unionByName, small)
+    return whole.repartition(common.shuffle_partitions(active.sparkSession), "cell").sortWithinPartitions("cell", "point")
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """Blocks of the largest component against blocks of all others, and blocks of those against each other: rows in
+    proportion to the cell while few are left outside its largest component."""
+    sizes = large.groupBy("cell", "component").agg(F.count("*").alias("k"))
+    top = sizes.groupBy("cell").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("all"))
+    blocks = top.select("cell", "top", F.ceil(F.col("most") / CELL).alias("tops"), F.ceil((F.col("all") - F.col("most")) / CELL).alias("others"))
+    rows = large.join(blocks, "cell").withColumn("block", F.when(F.col("component") == F.col("top"), F.pmod(F.xxhash64("point"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("point"), F.col("others"))))
+    other = F.col("component") != F.col("top")
+    against = F.transform(F.sequence(F.lit(0), F.when(other, F.col("tops")).otherwise(F.col("others")) - 1), lambda j: F.xxhash64("cell", F.when(other, j).otherwise(F.col("block")), F.when(other, F.col("block")).otherwise(j)))
+    apart = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.xxhash64("cell", F.lit("others"), F.least(j, F.col("block")), F.greatest(j, F.col("block"))))
+    to = F.explode(F.when(other & (F.col("others") > 1), F.concat(against, apart)).otherwise(against)).alias("cell")
+    return rows.select("region", "point", "component", "n", other.cast("int").alias("core"), *(f"w{i}" for i in range(WINDOW_LONGS)), to)
+
+
 def join_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     with common.arrow_rows(documents.sparkSession, ROWS):
@@ -309,7 +487,7 @@ def _join(documents: DataFrame, percent: int) -> DataFrame:
     keys = common.dealt_keys(spark, parts)
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = common.materialise(docs.mapInArrow(_describe, _POINT.format(id=kind)), "described")
-    met = common.materialise(docs.select("text").mapInArrow(lambda it: _deal(it, keys), "at int, block binary").repartition(parts, "at").mapInArrow(_meet, "a long, b long, kind byte"), "met")
+    met = common.materialise(docs.select("text").mapInArrow(lambda it: _deal(it, keys), "at int, block binary").repartition(parts, "at").mapInArrow(_meet, "a long, b long, kind byte, shared int, times int, size int"), "met")
     points = common.materialise(rows.filter("n > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(f"w{i}").alias(f"w{i}") for i in range(WINDOW_LONGS))), "points")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -338,15 +516,16 @@ def _join(documents: DataFrame, percent: int) -> DataFrame:
         return common.materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "compared")
 
     first = linked(met.filter("kind = 0").select("a", "b").distinct())
-    comps = components(first)
-    # What is left of each region: members of different components, in regions that hold such.
-    members = met.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("point")).join(comps.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
-    mixed = members.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("region")
-    rest = common.materialise(members.join(mixed, "region").join(points.drop("doc_id"), "point"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.component") < F.col("y.component")) & _window_holds("x", "y", percent)).select(F.col("x.point").alias("a"), F.col("y.point").alias("b")).distinct()
-    second = linked(across)
-    links = first.unionByName(second)
+    rest = common.materialise(_left_over(met), "rest")
+    links = first
+    for nearest in NEAREST:
+        meets = _mixed(rest.join(components(links).withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point")), "region")
+        active = common.materialise(meets.join(points.drop("doc_id"), "point"), "active")
+        pairs = common.materialise(_cut(active, percent).mapInArrow(lambda it, k=nearest: _join_cells(it, percent, k), "a long, b long, more long"), "cell-pairs")
+        if pairs.isEmpty():
+            break
+        links = common.materialise(links.unionByName(linked(pairs.select("a", "b").distinct())), "links")
+        rest = rest.join(pairs.filter("more is not null").select(F.col("more").alias("region")).distinct(), "region", "left_semi")
     named = components(links).select(F.col("node").alias("point"), "component")
     labelled = points.select("point", "doc_id").join(named, "point", "left").withColumn("component", F.coalesce("component", "point"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
