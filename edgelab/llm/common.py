@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only where it is unset, as in tests, a local one is made."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, as in tests, a local master makes one; on a
+    cluster that is an error, as executors could not read each other's files."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.edgelab.sharedDir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="edgelab-")
         spark.conf.set("spark.edgelab.sharedDir", base)
     return base.rstrip("/")
@@ -32,7 +36,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._edgelab_path = path
+    _written.append(path)
+    return out
+
+
+#: Paths of tables that are still there, in the order written.
+_written: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialised within it are deleted at its end, but for those given to keep()."""
+    mark, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._edgelab_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [p for p in _written[mark:] if p not in kept]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        _written[mark:] = kept
 
 
 @contextmanager
@@ -76,6 +106,18 @@ def sample_ids(df: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
     return df.filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(rows)
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column has it in either case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -85,9 +127,22 @@ def text_list(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in column(batch, name).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000, name: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one holds about `chars` bytes of text at most (one row at least), to bound memory."""
-    for b in batches:
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same; at their end, freed memory of the Python worker goes back to the system, as it lives on for other tasks."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # other C libraries than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000, name: str = "text", keep_made: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that one holds about `chars` bytes of text at most (one row at least), to bound memory. What other
+    operators made in this worker is let go of, unless this one makes something itself."""
+    if not keep_made:
+        _made.clear()
+    for b in trimmed(batches):
         if b.num_rows == 0:
             continue
         sizes = pc.binary_length(column(b, name)).fill_null(0).to_pylist()

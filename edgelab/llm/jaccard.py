@@ -229,7 +229,7 @@ def _unpack_block(at: int, block: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the regions dealt here: pairs (least member, other member), and the other members of regions of three and more.
     Regions with the same members are named once, with how many they are."""
-    got = [_unpack_block(at, x) for b in batches for at, x in zip(common.column(b, "at").to_pylist(), common.column(b, "block").to_pylist())]
+    got = [_unpack_block(at, x) for b in common.trimmed(batches) for at, x in zip(common.column(b, "at").to_pylist(), common.column(b, "block").to_pylist())]
     if not got:
         return
     key, member, shared = (np.concatenate(x) for x in zip(*got))
@@ -350,7 +350,7 @@ def _join_cells(batches: Iterator[pa.RecordBatch], percent: int, nearest: int |
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2], mask=pairs[2] == 0)], ["a", "b", "more"])
 
     held = np.zeros((0, len(names)), np.int64)
-    for b in batches:
+    for b in common.trimmed(batches):
         rows = np.stack([common.column(b, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], axis=1)
         rows = np.concatenate([held, rows])
         last = np.flatnonzero(rows[:, 0] != rows[-1, 0]) if len(rows) else []
@@ -389,7 +389,7 @@ def _links(texts: list[tuple[str, str]], percent: int) -> list[bool]:
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     unpacker = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in common.trimmed(batches):
         left, right = common.column(b, "text_a"), common.column(b, "text_b")
         ok, some, letters = [], [], 0
         for i in range(b.num_rows):
@@ -476,17 +476,18 @@ def _blocks(large: DataFrame) -> DataFrame:
 
 def join_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    with common.arrow_rows(documents.sparkSession, ROWS):
-        return _join(documents, percent)
+    spark = documents.sparkSession
+    with common.arrow_rows(spark, ROWS), common.scratch(spark) as keep:
+        return _join(documents, percent, keep)
 
 
-def _join(documents: DataFrame, percent: int) -> DataFrame:
+def _join(documents: DataFrame, percent: int, keep) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
     parts = common.shuffle_partitions(spark)
     keys = common.dealt_keys(spark, parts)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = common.materialise(docs.mapInArrow(_describe, _POINT.format(id=kind)), "described")
+    rows = keep(common.materialise(docs.mapInArrow(_describe, _POINT.format(id=kind)), "described"))
     met = common.materialise(docs.select("text").mapInArrow(lambda it: _deal(it, keys), "at int, block binary").repartition(parts, "at").mapInArrow(_meet, "a long, b long, kind byte, shared int, times int, size int"), "met")
     points = common.materialise(rows.filter("n > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(f"w{i}").alias(f"w{i}") for i in range(WINDOW_LONGS))), "points")
 
@@ -529,15 +530,16 @@ def _join(documents: DataFrame, percent: int) -> DataFrame:
     named = components(links).select(F.col("node").alias("point"), "component")
     labelled = points.select("point", "doc_id").join(named, "point", "left").withColumn("component", F.coalesce("component", "point"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_point = common.materialise(labelled.select("point", "component").join(least, "component").select("point", "component_id"), "of-point")
+    of_point = keep(common.materialise(labelled.select("point", "component").join(least, "component").select("point", "component_id"), "of-point"))
     return rows.select("doc_id", "point", F.col("n").alias("n_shingles")).join(of_point, "point", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component. Rows with a null doc_id count as any other, rows without shingles are alone."""
     spark = documents.sparkSession
-    # A key of each row's own stands for doc_id; it is written down, so that it is the same whenever it is read.
-    keyed = common.materialise(documents.withColumn(_ROW, F.monotonically_increasing_id()), "keyed")
-    found = join_components(keyed.select(F.col(_ROW).alias("doc_id"), "text"), percent)
-    chosen = common.materialise(found.filter("doc_id = component_id").select(F.col("doc_id").alias(_ROW)), "kept")
+    with common.scratch(spark) as keep:
+        # A key of each row's own stands for doc_id; it is written down, so that it is the same whenever it is read.
+        keyed = keep(common.materialise(documents.withColumn(_ROW, F.monotonically_increasing_id()), "keyed"))
+        found = join_components(keyed.select(F.col(_ROW).alias("doc_id"), "text"), percent)
+        chosen = keep(common.materialise(found.filter("doc_id = component_id").select(F.col("doc_id").alias(_ROW)), "kept"))
     return keyed.join(chosen, _ROW, "left_semi").select(*documents.columns)
