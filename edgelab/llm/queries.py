@@ -87,10 +87,10 @@ QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_toxicity,
 ORACLE_SQL = {
     "op1_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS nth FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f""",
+CASE WHEN payload_bytes >= 100 AND nth > 1 AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 100 AND nth > 1 THEN first_id END AS refers_to FROM f""",
     "op7_licences": licences.scan_sql("documents"),
     # All pairs of equal label, compared in double precision.
     "op10_embedding_dedup": """

@@ -7,10 +7,12 @@ its chains to where they leave it; pointer jumping over these exits, doubling it
 real chain enters every split, and the split then keeps what is reached from there. Only offsets are dealt; payload bytes
 move only for records that hold the magic, which are put together again from their pieces.
 
-Nulls: a null payload is an empty one; a null page_id is written as an empty name and read back as null, and is never referred to.
-Payloads under MIN_REVISIT bytes and empty ones are always responses. Repeated rows are records each; equal payloads of at
-least MIN_REVISIT bytes have one response, the record with the smallest page_id (of equal ones, one of them), and revisits.
-Extra columns are ignored; an empty table gives an empty archive. Payloads of any length are written whole.
+Nulls: a null payload is an empty one; a null page_id is written as an empty name and read back as null, and is never
+referred to (it revisits an equal payload of a page that has an id; where none has, all are responses). Payloads under
+MIN_REVISIT bytes and empty ones are always responses. Repeated rows are records each; equal payloads of at least
+MIN_REVISIT bytes have one response, the record with the smallest page_id (of equal ones, one with the least url), and revisits.
+Extra columns are ignored; an empty table gives an empty archive. Payloads of any length are written whole. An archive whose
+chain of records does not end with the file (a record without Content-Length, or a file that was cut off) is an error.
 """
 
 from __future__ import annotations
@@ -26,20 +28,34 @@ from . import common
 
 MAGIC = "WARC/1.0\r\n"
 MIN_REVISIT = 100
-#: Revisits that may be broadcast to the pages; beyond that they are joined by shuffling.
-BROADCAST_REVISITS = 200_000
+#: Repeated payloads whose digests may be broadcast to the pages; beyond that they are joined by shuffling.
+BROADCAST_REPEATED = 200_000
+#: Revisits of repeated rows that one task writes.
+REPEATS = 100_000
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
     """One record per row (page_id, url, html), in files under path."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"), F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload, 256).alias("digest"))
-    narrow = common.materialise(rows.filter((F.col("bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest", "row"), "payloads")
-    groups = narrow.groupBy("digest").agg(F.min(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    revisits = common.materialise(narrow.join(groups, "digest").filter(F.struct("page_id", "row") != F.col("first")).select("row", F.col("first.page_id").alias("refers_to")), "revisits")
-    # Row numbers hold because they come from the same files, in the same order of splits.
-    few = revisits.count() <= BROADCAST_REVISITS
-    typed = rows.join(F.broadcast(revisits) if few else revisits, "row", "left").withColumn("again", F.col("refers_to").isNotNull())
+    html = F.coalesce(F.col("html"), F.lit(""))
+    payload = html.cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload, 256).alias("digest"))
+    narrow = rows.filter(F.col("bytes") >= MIN_REVISIT).groupBy("digest", "page_id").agg(F.count("*").alias("rows"))
+    groups = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("rows", "page_id").alias("ties"), F.sum("rows").alias("n")).filter("n > 1 and first is not null").drop("n")
+    repeated = common.materialise(groups, "repeated-payloads")
+    few = repeated.count() <= BROADCAST_REPEATED
+    typed = rows.join(F.broadcast(repeated) if few else repeated, "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).withColumn("refers_to", F.when(F.col("again"), F.col("first")))
+    if not repeated.filter("ties > 1").isEmpty():
+        # Rows of one page_id and one payload: one is the response; the others have no payload to write, so their number is enough.
+        tied = (F.coalesce(F.col("ties"), F.lit(1)) > 1) & F.col("page_id").eqNullSafe(F.col("first"))
+        some, columns = typed.filter(tied), typed.columns
+        counted = some.groupBy("digest", "page_id", "bytes", "first", "ties", "url").agg(F.count("*").alias("rows"))
+        least = some.groupBy("digest", "page_id", "bytes", "first", "ties").agg(F.min("url").alias("url"), F.first("html").alias("html"))
+        response = least.withColumn("again", F.lit(False)).withColumn("refers_to", F.lit(None).cast("long"))
+        left = counted.join(least.select("digest", F.col("url").alias("least")), "digest").withColumn("rows", F.col("rows") - F.col("url").eqNullSafe(F.col("least")).cast("long"))
+        parts = left.filter("rows > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / REPEATS)))).repartition(common.shuffle_partitions(pages.sparkSession))
+        each = parts.withColumn("each", F.explode(F.sequence(F.lit(1), F.least(F.lit(REPEATS), F.col("rows") - F.col("part") * REPEATS))))
+        others = each.withColumn("html", F.lit("")).withColumn("again", F.lit(True)).withColumn("refers_to", F.col("first"))
+        typed = typed.filter(~tied).unionByName(response.select(columns)).unionByName(others.select(columns))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     clean_url = F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", " ")
     header = F.concat(
@@ -54,10 +70,16 @@ def write_archive(pages: DataFrame, path: str) -> None:
 
 
 def _cut(spark: SparkSession, path: str) -> DataFrame:
-    """The archive cut at the magic. nth orders the pieces of a split, and is the same in each reading of the same files."""
+    """The archive cut at the magic. nth orders the pieces of a split."""
     return spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("bytes"))
 
 
+def _numbered(pieces: DataFrame, columns: list[str]) -> DataFrame:
+    """(file, split, number in the split, columns): numbers that do not depend on how splits are dealt to tasks."""
+    least = pieces.groupBy("file", "split").agg(F.min("nth").alias("least"))
+    return pieces.join(least, ["file", "split"]).select("file", "split", (F.col("nth") - F.col("least")).alias("number"), *columns)
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """The archive cut at the magic: (file, split, nth, size, head, ...) of each piece; head is the offset of the payload in it."""
     raw = _cut(spark, path)
@@ -131,13 +153,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         jump = common.materialise(jump.join(onward, ["file", "to"], "left").select("file", "start", F.coalesce("further", F.lit(-1).cast("long")).alias("to")), "jumps")
     entries = reached.join(chains.select("file", "start", "split"), ["file", "start"]).select("file", "split", F.lit(-1).cast("long").alias("nth"), "start", F.lit(-1).cast("long").alias("next"))
     real = common.materialise(chains.select("file", "split", "nth", "start", "next").union(entries).groupBy("file", "split").applyInPandas(_reached, "file string, split long, nth long, start long, next long"), "real")
+    ends = placed.groupBy("file").agg(F.max("stop").alias("length")).join(real.groupBy("file").agg(F.max("next").alias("end")), "file", "left").filter("end is null or end <> length")
+    for r in ends.limit(1).collect():
+        raise ValueError(f"{r['file']}: the chain of records ends at {r['end'] or 0}, the file at {r['length']}")
     records = real.join(pieces.drop("file", "split"), "nth")
     simple = records.filter("whole").select("name", "type", "said", "said_bytes", "refers", "length", "digest")
     # Records that hold the magic: all pieces from the record to its successor, in order, with the magic between them.
     broken = common.materialise(records.filter("not coalesce(whole, false)").select("file", "start", "next", "name", "type", "said", "said_bytes", "refers", "length", F.col("head").alias("skip")), "broken")
     if not broken.isEmpty():
-        spans = common.materialise(broken.select("file", "start", "next").join(placed.select("file", "at", "nth"), "file").filter("at > start and at < next").select("file", "start", "at", "nth"), "spans")
-        bytes_of = _cut(spark, path).select("nth", "bytes").join(spans, "nth")
+        # The record that each piece lies in: the last real start up to it in its file; offsets only are sorted.
+        files = broken.select("file").distinct()
+        upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        inside = placed.join(files, "file", "left_semi").select("file", "split", "nth", "at").join(real.select("nth", "start"), "nth", "left").withColumn("start", F.last("start", ignorenulls=True).over(upto))
+        spans = common.materialise(_numbered(inside, ["at", "start"]).join(broken.select("file", "start"), ["file", "start"], "left_semi"), "spans")
+        bytes_of = _numbered(_cut(spark, path), ["bytes"]).join(spans, ["file", "split", "number"])
         joined = bytes_of.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("parts")).select("file", "start", F.expr(f"array_join(transform(parts, p -> hex(p.bytes)), '{MAGIC.encode().hex().upper()}')").alias("content"))
         simple = simple.union(broken.join(joined, ["file", "start"]).select("name", "type", "said", "said_bytes", "refers", "length", F.sha2(F.unhex(F.expr("substring(content, cast(2 * skip + 1 as int), cast(2 * length as int))")), 256).alias("digest")))
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '<urn:page:([^>]*)>', 1), '') as long)")
