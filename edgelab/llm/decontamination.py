@@ -8,17 +8,19 @@ five-word shingles of the item to be found in the passage: a share of OVERLAP of
 LEAST_PART of each. The answer is the item's last sentence if it has more than one.
 
 Words are lower-cased pieces between white space without signs at their ends. Passages are windows twice as long as the
-longest item, advancing by half, so that each occurrence lies within one. Null and empty texts match nothing; items
-without a word are ignored; repeated rows give repeated hits; a parts shorter than five words counts as one shingle.
-An empty table on either side gives no hits. Extra columns are ignored. Items are indexed in blocks of ITEM_BLOCK, one
-pass over the documents each, so that an index stays small.
+longest item of a block, advancing by half, so that each occurrence of an item, however long, lies within one; very long
+texts are searched whole. Null and empty texts match nothing; items without a word are ignored; repeated rows give repeated
+hits, and rows with a null doc_id hits with a null one; a part shorter than five words counts as one shingle. An empty table
+on either side gives no hits. Extra columns are ignored, whatever their names. Items are indexed in blocks of ITEM_BLOCK items or
+BLOCK_WORDS words, one pass over the documents each, so that an index stays small; document frequencies and the mean length
+are those of all items, so that a score does not depend on the blocks.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from . import common
 
 THRESHOLD, OVERLAP, LEAST_PART, SHINGLE = 0.6, 0.8, 0.5, 5
 K1, B = 1.2, 0.75
-POSTING_BLOCK, ITEM_RANGES, ITEM_BLOCK = 16, 64, 20_000
+POSTING_BLOCK, ITEM_RANGES, ITEM_BLOCK, BLOCK_WORDS = 16, 64, 20_000, 2_000_000
+#: Bytes of text that a Python worker searches at a time (one text at least).
+LETTERS = 1_000_000
 #: Terms of distinct tokens a Python worker keeps at most.
 CACHE_WORDS = 200_000
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -45,14 +49,34 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
+def parts_of(text: str | None) -> list[list[str]]:
+    """Words of each sentence that has any."""
+    cut = [[t for t in map(term, s.split()) if t] for s in _SENTENCE.split((text or "").strip())]
+    return [p for p in cut if p]
+
+
+class Statistics:
+    """Number of items, their mean length, and how many items hold each term."""
+
+    def __init__(self, texts: Iterable[str | None]):
+        self.items, words, self.holding = 0, 0, Counter()
+        for text in texts:
+            own = [t for p in parts_of(text) for t in p]
+            if own:
+                self.items += 1
+                words += len(own)
+                self.holding.update(set(own))
+        self.mean = words / max(self.items, 1)
+
+
 class Index:
     """Postings in blocks, with the greatest impact of each block and term."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], statistics: Statistics | None = None):
+        statistics = statistics or Statistics(t for _, t in items)
         kept = []
         for key, text in sorted(items, key=lambda x: (str(x[0]), x[1] or "")):
-            sentences = [s for s in _SENTENCE.split((text or "").strip()) if any(term(t) for t in s.split())]
-            parts = [[t for t in map(term, s.split()) if t] for s in sentences]
+            parts = parts_of(text)
             if parts:
                 question = [t for p in (parts[:-1] or parts) for t in p]
                 kept.append((key, [t for p in parts for t in p], question, parts[-1] if len(parts) > 1 else []))
@@ -60,8 +84,7 @@ class Index:
         self.words = [w for _, w, _, _ in kept]
         self.parts = [(shingles(q), shingles(a)) for _, _, q, a in kept]
         self.longest = max((len(w) for w in self.words), default=1)
-        n, mean = len(kept), np.mean([len(w) for w in self.words]) if kept else 1.0
-        df = Counter(t for w in self.words for t in set(w))
+        n, mean, df = statistics.items, statistics.mean, {t: statistics.holding[t] for w in self.words for t in w}
         idf = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in df.items()}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, w in enumerate(self.words):
@@ -75,8 +98,8 @@ class Index:
         self.block_max = [[max(x[a : a + POSTING_BLOCK]) for a in range(0, len(x), POSTING_BLOCK)] for x in self.impacts]
         self.bound = np.array([max(x) for x in self.impacts] + [0.0])  # the last: no term of any item
         # Greatest impact of each term in each range of items: a passage's sums over its terms bound all scores of a range.
-        wide = max(1, -(-n // ITEM_RANGES))
-        self.range_max = np.zeros((len(self.ids) + 1, -(-n // wide) if n else 1), np.float32)
+        wide = max(1, -(-len(kept) // ITEM_RANGES))
+        self.range_max = np.zeros((len(self.ids) + 1, -(-len(kept) // wide) if kept else 1), np.float32)
         for t, (own, x) in enumerate(zip(self.items, self.impacts)):
             np.maximum.at(self.range_max[t], np.array(own) // wide, np.array(x, np.float32))
 
@@ -202,9 +225,19 @@ class Matcher:
         return [(r, i, s, q, a) for (r, i), (_, s, q, a) in sorted(best.items())]
 
 
-def _indexes(items: DataFrame) -> list[Index]:
-    rows = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").toLocalIterator()]
-    return [x for i in range(0, len(rows), ITEM_BLOCK) if (x := Index(rows[i : i + ITEM_BLOCK])).keys]
+def _indexes(items: DataFrame) -> Iterator[Index]:
+    """One index after another. The items pass the driver one partition at a time; it holds a block of them and the terms' counts."""
+    chosen = items.select("item_id", "text")
+    statistics = Statistics(r["text"] for r in chosen.toLocalIterator())
+    block, words = [], 0
+    for r in chosen.toLocalIterator():
+        block.append((r["item_id"], r["text"]))
+        words += len((r["text"] or "").split())
+        if len(block) >= ITEM_BLOCK or words >= BLOCK_WORDS:
+            yield Index(block, statistics)
+            block, words = [], 0
+    if block:
+        yield Index(block, statistics)
 
 
 def find_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -214,11 +247,13 @@ def find_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
     schema = f"doc_id {types['doc_id']}, item_id {types['item_id']}, score double, question_overlap double, answer_overlap double"
     out = None
     for index in _indexes(items):
+        if not index.keys:
+            continue
         shared = spark.sparkContext.broadcast(index)  # ITEM_BLOCK items at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value)
-            for b in common.pieces(batches):
+            for b in common.pieces(batches, LETTERS):
                 hits = matcher.hits(common.column(b, "text"))
                 docs = common.column(b, "doc_id").take(pa.array([h[0] for h in hits], pa.int64()))
                 keys = [matcher.index.keys[h[1]] for h in hits]
@@ -232,11 +267,13 @@ def find_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The rows that hold no test item, with all their columns."""
     for index in _indexes(items):
+        if not index.keys:
+            continue
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value)
-            for b in common.pieces(batches):
+            for b in common.pieces(batches, LETTERS):
                 bad = {h[0] for h in matcher.hits(common.column(b, "text"))}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
 
