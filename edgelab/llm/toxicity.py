@@ -7,8 +7,10 @@ reading, and the likeliest one in which whatever can imitate a letter does, unle
 has one path only, itself, and is taken as it is. A logistic model over words and word beginnings of the restored text
 gives the score.
 
-Null and empty texts are scored by the intercept alone. Labels are read as the largest per doc_id where a document has
-several. Extra columns are ignored; an empty table gives an empty result; without labels every score is 0.
+Null and empty texts are scored by the intercept alone; very long texts are read whole, in learning too. Labels are read as
+the largest per doc_id where a document has several; of texts that share a doc_id the one with the least features is
+learned from; equal texts get equal scores, and features that tie are taken by name. Extra columns are ignored, whatever
+their names; an empty table gives an empty result; without labels every score is 0.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from . import common
 
 #: Letters that the character model tells apart, the most frequent of the texts; all others share one code. Bounds its table.
 ALPHABET = 100
-#: Labelled documents to learn from, at most, of each label; texts longer than this are left out of learning.
-SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 20_000
-#: A feature is used from this log-likelihood ratio on, and at most so many.
-LEAST_G2, MOST_FEATURES = 25.0, 2_000
+#: Labelled documents to learn from, at most, of each label.
+SAMPLE_ROWS = 3_000
+#: A feature is used from this log-likelihood ratio on; at most so many are looked at, the best first, and so many used: the size of the classifier.
+LEAST_G2, CANDIDATES, MOST_FEATURES = 25.0, 20_000, 2_000
 #: Features that explain a toxic text well enough, so that further ones must help elsewhere.
 COVER = 4
 #: Characters as imitations of letters (fixed values).
@@ -139,7 +141,7 @@ def _letters() -> np.ndarray:
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Code points of the lower-case texts, a space after each text."""
-    for b in common.pieces(batches):
+    for b in common.pieces(batches, keep_made=True):
         text = " ".join([*common.text_list(b), ""]).lower()
         yield np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
@@ -252,64 +254,86 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60)
     return w
 
 
+def _features(batches: Iterator[pa.RecordBatch], chars: CharModel) -> Iterator[pa.RecordBatch]:
+    """The features of each text, in order."""
+    memo: dict[str, list[str]] = {}
+    for b in common.pieces(batches):
+        out = []
+        for text in common.text_list(b):
+            tokens, found = text.split(), set()
+            for t in {*tokens, *spelled(tokens, " ")}:
+                if t not in memo:
+                    if len(memo) > CACHE_WORDS:
+                        memo.clear()
+                    memo[t] = [f for w in token_words(t, chars) for f in features(w)]
+                found.update(memo[t])
+            out.append(sorted(found))
+        yield pa.RecordBatch.from_arrays([common.column(b, "doc_id"), common.column(b, "toxic"), pa.array(out, pa.list_(pa.string()))], ["doc_id", "toxic", "features"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [sorted(number[f] for f in fs if f in number) for fs in common.column(b, "features").to_pylist()]
+        yield pa.RecordBatch.from_arrays([common.column(b, "toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
+
+
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> Model:
-    known = labels.filter(F.col("toxic").isNotNull() & (common.fold("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = common.sample_ids(known.filter("toxic = 1"), SAMPLE_ROWS).unionByName(common.sample_ids(known.filter("toxic = 0"), SAMPLE_ROWS))
-    share = known.agg(F.avg("toxic")).first()[0]
-    rows = documents.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    if not any(r["toxic"] for r in rows) or all(r["toxic"] for r in rows):
-        return Model(None, {}, 50.0 if rows and share == 1 else -50.0)
-    chars, memo = char_model(documents.filter(F.coalesce(common.fold("doc_id", folds) != held_out, F.lit(True)))), {}
-    docs = []
-    for r in rows:
-        tokens = r["text"].split()
-        words = set()
-        for t in {*tokens, *spelled(tokens, " ")}:
-            if t not in memo:
-                memo[t] = token_words(t, chars)
-            words.update(memo[t])
-        docs.append(words)
-    y = np.array([r["toxic"] for r in rows], float)
-    sides = [Counter(), Counter()]
-    sets = []
-    for words, label in zip(docs, y):
-        fs = {f for w in words for f in features(w)}
-        sets.append(fs)
-        sides[int(label)].update(fs)
+    spark = documents.sparkSession
+    with common.scratch(spark):
+        known = labels.filter(F.col("toxic").isNotNull() & (common.fold("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+        picked = common.sample_ids(known.filter("toxic = 1"), SAMPLE_ROWS).unionByName(common.sample_ids(known.filter("toxic = 0"), SAMPLE_ROWS))
+        share = known.agg(F.avg("toxic")).first()[0]
+        chosen = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
+        n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
+        n0, n1 = n.get(0, 0), n.get(1, 0)
+        if not n0 or not n1:
+            return Model(None, {}, 50.0 if n1 and share == 1 else -50.0)
+        chars = char_model(documents.filter(F.coalesce(common.fold("doc_id", folds) != held_out, F.lit(True))))
+        shared = spark.sparkContext.broadcast(chars)  # (ALPHABET + 2)^3 numbers
+        kind = documents.schema["doc_id"].dataType.simpleString()
+        found = chosen.mapInArrow(lambda it: _features(it, shared.value), f"doc_id {kind}, toxic int, features array<string>")
+        rows = common.materialise(found.groupBy("doc_id", "toxic").agg(F.min("features").alias("features")), "toxic-features")
+        ranked = _ranked(rows, n0, n1)
+        number = {f: i for i, f in enumerate(ranked)}
+        table = rows.mapInArrow(lambda it: _numbered(it, number), "toxic int, found array<int>").toArrow()
+    return _train(table.column("toxic").to_numpy().astype(float), table.column("found").to_pylist(), ranked, chars, share)
+
+
+def _ranked(rows: DataFrame, n0: int, n1: int) -> list[str]:
+    """Features of toxic texts by their log-likelihood ratio, the best first."""
+    k, j = F.col("k"), F.col("j")
+    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    p = (k + j) / (n0 + n1)
+    g2 = 2 * (part(k, n1 * p) + part(j, n0 * p) + part(n1 - k, n1 * (1 - p)) + part(n0 - j, n0 * (1 - p)))
+    counted = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("k"), F.sum(1 - F.col("toxic")).alias("j"))
+    good = counted.filter((k >= 4) & (k * n0 > 2 * j * n1)).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2)
+    return [r["feature"] for r in good.orderBy(F.desc("g2"), "feature").limit(CANDIDATES).select("feature").collect()]
+
+
+def _train(y: np.ndarray, found: list[list[int]], ranked: list[str], chars: CharModel, share: float) -> Model:
+    """Words that only accompany others, as in copies of one text, explain nothing new: a feature must add to toxic texts that
+    have fewer than COVER features so far."""
     n1, n0 = y.sum(), len(y) - y.sum()
-    ranked = []
-    for f, k in sides[1].items():
-        j = sides[0].get(f, 0)
-        if k < 4 or k / n1 <= 2 * j / n0:
-            continue
-        total, p = k + j, (k + j) / len(y)
-        g2 = 2 * sum(o * np.log(o / e) for o, e in ((k, n1 * p), (j, n0 * p), (n1 - k, n1 * (1 - p)), (n0 - j, n0 * (1 - p))) if o > 0)
-        if g2 >= LEAST_G2:
-            ranked.append((-g2, f, total))
-    # Words that only accompany others, as in copies of one text, explain nothing new: a feature must add to texts that
-    # have fewer than COVER features so far.
-    covered, chosen = np.zeros(len(rows)), {}
-    having: dict[str, list[int]] = {f: [] for _, f, _ in ranked}
-    for i, fs in enumerate(sets):
+    having: list[list[int]] = [[] for _ in ranked]
+    for i, fs in enumerate(found):
         if y[i]:
             for f in fs:
-                if f in having:
-                    having[f].append(i)
+                having[f].append(i)
+    covered, chosen = np.zeros(len(y)), {}
     same: set[tuple[int, ...]] = set()
-    for _, f, _ in sorted(ranked):
-        if tuple(having[f]) in same:  # a word and its own beginnings, in the same texts
+    for f, texts in enumerate(having):
+        if tuple(texts) in same:  # a word and its own beginnings, in the same texts
             continue
-        if (covered[having[f]] < COVER).sum() >= max(1, min(4, n1 // 100)) and len(chosen) < MOST_FEATURES:
+        if (covered[texts] < COVER).sum() >= max(1, min(4, n1 // 100)) and len(chosen) < MOST_FEATURES:
             chosen[f] = len(chosen)
-            same.add(tuple(having[f]))
-            covered[having[f]] += 1
-    x = np.zeros((len(rows), len(chosen)))
-    for i, fs in enumerate(sets):
+            same.add(tuple(texts))
+            covered[texts] += 1
+    x = np.zeros((len(y), len(chosen)))
+    for i, fs in enumerate(found):
         x[i, [chosen[f] for f in fs if f in chosen]] = 1
     w = logistic(x, y)
     prior = np.log(share / (1 - share)) - np.log(n1 / n0)  # the sample holds more of the rare label than the rows
-    return Model(chars, {f: float(w[i]) for f, i in chosen.items()}, float(w[-1] + prior))
+    return Model(chars, {ranked[f]: float(w[i]) for f, i in chosen.items()}, float(w[-1] + prior))
 
 
 class Scorer:
@@ -355,14 +379,14 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str], name: str) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for b in common.pieces(batches):
-        yield pa.RecordBatch.from_arrays([common.column(b, c) for c in keep] + [pa.array(scorer.scores(common.column(b, "text")), pa.float64())], keep + ["score"])
+        yield pa.RecordBatch.from_arrays([common.column(b, c) for c in keep] + [pa.array(scorer.scores(common.column(b, "text")), pa.float64())], keep + [name])
 
 
-def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep`, then score."""
-    schema = ", ".join([f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights and 102^3 trigrams
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda it: _score(it, shared.value, keep), schema)
+def score(documents: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """Columns `keep`, then the score under the given name."""
+    schema = ", ".join([f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep] + [f"`{name}` double"])
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights and (ALPHABET + 2)^3 trigrams
+    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda it: _score(it, shared.value, keep, name), schema)
