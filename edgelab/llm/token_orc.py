@@ -1,8 +1,9 @@
 """Token ids as ORC: integer run-length encoded id lists, row indexes, Bloom filters on document ids.
 
-Nulls: a null text encodes as an empty one, so only the end id is written; a null doc_id sorts first.
-Empty texts give the end id alone, long texts are encoded whole, equal doc_ids are ordered by text.
-Extra columns are ignored; an empty table gives an empty result.
+Stripes are read in parallel, and a lookup by doc_id reads only the row groups that row indexes and Bloom filters leave.
+A special token's string in a text is that token, as the library has it. Nulls: a null text encodes as an empty one, so only
+the end id is written; a null doc_id sorts first. Empty texts give the end id alone, very long texts are encoded whole, equal
+doc_ids are ordered by text, repeated rows are written each. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.spaced[i] = token.startswith("\u0120")  # a space in byte-level vocabularies
         self.coder = WordCoder(self._new, " ", "")
 
     @classmethod
@@ -51,9 +54,23 @@ class WordEncoder:
         return cls._by_path[path]
 
     def _new(self, words: list[str]) -> Iterator[bytes]:
+        """Words with one space, before them, are encoded many at a time: the next word begins with the next token that begins with a space."""
         for i in range(0, len(words), 20_000):
-            for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+            some = words[i : i + 20_000]
+            joined = [w for w in some if w[:1] == " " and len(w) > 1 and not w[1].isspace() and " " not in w[1:]]
+            ids = np.array(self._ids(["".join(joined)])[0], "<u4") if joined else np.zeros(0, "<u4")
+            cut = [*np.flatnonzero(self.spaced[ids]).tolist(), len(ids)]
+            if len(cut) - 1 != len(joined) or (joined and cut[0]):
+                joined, cut = [], [0]  # a tokenizer of another kind: word by word
+            raw, parts = ids.tobytes(), {}
+            for w, a, z in zip(joined, cut, cut[1:]):
+                parts[w] = raw[4 * a : 4 * z]
+            others = [w for w in some if w not in parts]
+            parts.update(zip(others, (np.array(x, "<u4").tobytes() for x in self._ids(others))))
+            yield from map(parts.__getitem__, some)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text in it."""
@@ -93,6 +110,12 @@ def write_token_orc(documents: DataFrame, path: str, tokenizer_path: str, end_id
     encoded.write.option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_INDEX_STRIDE).option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", BLOOM_FPP).orc(path)
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """(doc_id, ids) of all documents, or of those asked for: the ids reach the scan, which skips files' stripes and row groups by them."""
+    files = spark.read.schema("doc_id long, ids array<int>").orc(path)
+    return files if doc_ids is None else files.filter(F.col("doc_id").isin(*doc_ids))
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = common.column(b, "ids")
