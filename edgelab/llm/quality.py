@@ -5,8 +5,10 @@ unbiased risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)), whose class prior pi is es
 unlabelled to positive texts above a threshold of a plain positive-against-unlabelled model, on texts that model has not seen.
 
 Features are the shares of pairs of neighbouring character classes over the whole text, and how often words, word pairs
-and lines repeat. Null and empty texts have all features 0. Labels are read as the largest per doc_id. Extra columns are
-ignored; an empty table gives an empty result; without positives every score is 0.5.
+and lines repeat. Null and empty texts have all features 0; very long texts are read whole, in learning too. Labels are read
+as the largest per doc_id; of texts that share a doc_id the one with the least features is learned from; equal texts get
+equal scores. Extra columns are ignored, whatever their names; an empty table gives an empty result; without positives
+every score is 0.5.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Texts to learn from, at most: positives, unlabelled ones. Texts longer than SAMPLE_CHARS are left out of learning.
-POSITIVES, UNLABELLED, SAMPLE_CHARS = 4_000, 8_000, 20_000
+#: Texts to learn from, at most: positives, unlabelled ones.
+POSITIVES, UNLABELLED = 4_000, 8_000
 CLASSES = 20
 FEATURES = CLASSES * CLASSES + 5
 _SIGNS = ".,!?;:|%$&*#'\"-"
@@ -135,9 +137,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(documents: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the chosen documents; ids holds a bounded number of rows."""
-    some = documents.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(ids.select("doc_id")), "doc_id")
-    rows = sorted((r["doc_id"], bytes(r["x"])) for r in some.mapInArrow(_features, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, x binary").collect())
+    """Features of the chosen documents, one row for each id; ids holds a bounded number of rows."""
+    some = documents.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
+    one = some.mapInArrow(_features, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, x binary").groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = sorted((r["doc_id"], bytes(r["x"])) for r in one.collect())
     return np.frombuffer(b"".join(x for _, x in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
 
 
@@ -150,13 +153,13 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     return train(pos, unl)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str], name: str) -> Iterator[pa.RecordBatch]:
     for b in common.pieces(batches):
         x = np.array([style(t) for t in common.text_list(b)])
-        yield pa.RecordBatch.from_arrays([common.column(b, c) for c in keep] + [pa.array(model.score(x), pa.float64())], keep + ["score"])
+        yield pa.RecordBatch.from_arrays([common.column(b, c) for c in keep] + [pa.array(model.score(x), pa.float64())], keep + [name])
 
 
-def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep`, then score."""
-    schema = ", ".join([f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda it: _score(it, model, keep), schema)
+def score(documents: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """Columns `keep`, then the score under the given name."""
+    schema = ", ".join([f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep] + [f"`{name}` double"])
+    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda it: _score(it, model, keep, name), schema)
