@@ -1,47 +1,42 @@
 """Canonical digest lookup of licence texts, with DataFrame functions only.
 
-A text is normalised - case, copyright lines, equivalent spellings, punctuation and white space - and the SHA-256 of the
+A text is normalised - case, copyright statements, equivalent spellings, punctuation and white space - and the SHA-256 of the
 whole result is hash-joined to the digests of known licences. The same is done for each line, so that a notice within a
-document is found as a text of its own. Null texts count as empty; empty texts match nothing; repeated rows get equal
-results; lines of any length are digested whole. Extra columns are ignored; an empty table gives an empty result.
-The known digests are a fixed list, which bounds the broadcast; a document's notices are the sorted distinct licences
-of its lines.
+document is found as a text of its own. A copyright statement is a line that begins with one and names a year, up to where
+the licence's own words begin. Null texts count as empty; empty texts match nothing; repeated rows get equal results; texts
+and lines of any length are digested whole. Of two known licences with one digest, the first by name wins. Extra columns
+are ignored, whatever their names; an empty table gives an empty result. The known digests are a list that the caller
+holds, which bounds the broadcast; a document's notices are the sorted distinct licences of its lines.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import KNOWN
+
 #: Spellings taken as one (fixed values).
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("favour", "favor"), ("per cent", "percent"), ("copyright owner", "copyright holder")]
-#: Known licence texts and notices by SPDX identifier (fixed values).
-MIT_BODY = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
-ISC_BODY = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
-KNOWN = [
-    ("MIT", "MIT License " + MIT_BODY), ("MIT", "The MIT License (MIT) " + MIT_BODY), ("MIT", MIT_BODY), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
-    ("ISC", "ISC License " + ISC_BODY), ("ISC", ISC_BODY), ("ISC", "SPDX-License-Identifier: ISC"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-4.0", "This work is licensed under CC BY 4.0."),
-    ("LicenseRef-all-rights-reserved", "All rights reserved."),
-]
-
+_WORD_GAP = re.compile("[- ]")
 # Patterns in a syntax that the JVM's and DuckDB's regular expressions share.
-COPYRIGHT_LINE = "^[ \t#*/;-]*(copyright|\\(c\\)|©).*[0-9]{4}"
+COPYRIGHT = "^[ \t#*/;-]*(?:copyright|\\(c\\)|©).*?[0-9]{4}.*?(permission is|permission to|redistribution and|licensed under|released under|this software|this work|$)"
 SIGNS = "[^a-z0-9\\x{80}-\\x{10ffff}]+"
 
 
 def _spelled(x: Column) -> Column:
     """One spelling; words stand between single spaces."""
+    x = F.replace(x, F.lit(" "), F.lit("  "))  # so that each word has its own spaces
     for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(f" {a.replace('-', ' ')} "), F.lit(f" {b} "))
-    return x
+        x = F.replace(x, F.lit(f" {_WORD_GAP.sub('  ', a)} "), F.lit(f" {_WORD_GAP.sub('  ', b)} "))
+    return F.replace(x, F.lit("  "), F.lit(" "))
 
 
 def canonical_lines(text: Column) -> Column:
-    """The normalised lines of a text, each between spaces; copyright lines are left out."""
-    lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~F.rlike(x, F.lit(COPYRIGHT_LINE)))
+    """The normalised lines of a text, each between spaces, without copyright statements."""
+    lines = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: F.regexp_replace(x, F.lit(COPYRIGHT), F.lit("$1")))
     return F.transform(lines, lambda x: F.regexp_replace(F.concat(F.lit(" "), x, F.lit(" ")), SIGNS, " "))
 
 
@@ -59,15 +54,16 @@ def digest(text: Column) -> Column:
     return _sha(canonical(canonical_lines(text)))
 
 
-def known_digests(spark) -> DataFrame:
+def known_digests(spark, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """(digest, licence) of the known texts: as many rows as the list has, or fewer."""
-    rows = spark.createDataFrame(KNOWN, "licence string, known string")
+    rows = spark.createDataFrame(known, "licence string, known string")
     return rows.select(digest(F.col("known")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, text_digest, text_licence (null if unknown), notices (sorted distinct licences of lines), n_notices (such lines)."""
-    known = known_digests(documents.sparkSession)
+def scan(documents: DataFrame, known_texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
+    """doc_id, text_digest, text_licence (null if unknown), notices (sorted distinct licences of lines), n_notices (such lines).
+    known_texts: (SPDX identifier, text) of each licence looked for, such as a folder of licence files holds."""
+    known = known_digests(documents.sparkSession, known_texts)
     entries = [F.lit(x) for r in known.collect() for x in (r["digest"], r["licence"])]  # the fixed list
     by_digest = F.create_map(*entries)
     # Lines are looked up in place, which keeps a document's row whole and deals nothing.
@@ -82,12 +78,13 @@ def scan_sql(source: str) -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def spelled(x: str) -> str:
+        x = f"replace({x}, ' ', '  ')"
         for a, b in SPELLINGS:
-            x = f"replace({x}, ' {a.replace('-', ' ')} ', ' {b} ')"
-        return x
+            x = f"replace({x}, ' {_WORD_GAP.sub('  ', a)} ', ' {_WORD_GAP.sub('  ', b)} ')"
+        return f"replace({x}, '  ', ' ')"
 
     def lines(x: str) -> str:
-        kept = f"list_filter(string_split(lower(coalesce({x}, '')), chr(10)), lambda x: NOT regexp_matches(x, {quote(COPYRIGHT_LINE)}))"
+        kept = f"list_transform(string_split(lower(coalesce({x}, '')), chr(10)), lambda x: regexp_replace(x, {quote(COPYRIGHT)}, '\\1'))"
         return f"list_transform({kept}, lambda x: regexp_replace(' ' || x || ' ', {quote(SIGNS)}, ' ', 'g'))"
 
     def digest_of(cut: str) -> str:
