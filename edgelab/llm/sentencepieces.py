@@ -2,11 +2,13 @@
 
 A text is cut before each space; a word carries the space as the mark U+2581. Distinct words are sorted, which lists a
 trie depth-first, and the forward scores of a common prefix are kept from one word to the next. A character that no piece
-has becomes its UTF-8 bytes. The best path has the highest sum of piece scores; of equal ones, the one whose last piece
-starts earliest wins.
+has becomes its UTF-8 bytes. The best path has the highest sum of piece scores; where the file's scores are merge ranks, which
+are no likelihoods, it is the one of fewest pieces, and of those the one with the highest sum. Of equal paths, the one whose
+last piece starts earliest wins.
 
 Nulls: a null text encodes as an empty one (no ids; decodes to an empty text). Literal U+2581 becomes bytes, so decoding
-restores every text exactly. Extra columns are ignored by the operator; an empty table gives an empty result.
+restores every text exactly. Very long texts and very long words are encoded whole; repeated texts get equal ids. Extra
+columns are ignored by the operator, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from . import common
 from .wordcoder import WordCoder
 
 MARK = "▁"
-#: Cost of one byte piece; below any sum of ordinary pieces over a word's characters.
-BYTE_SCORE = -1e6
+#: Score of one byte piece; below any sum of ordinary pieces over a word's characters.
+BYTE_SCORE = -(1 << 60)
+#: Added to each piece's score where scores are merge ranks: beyond any sum of ranks in a word of a million pieces.
+PIECE_SCORE = -(1 << 36)
 #: Bytes of text that a Python worker encodes at a time (one text at least).
 LETTERS = 1_000_000
 #: Words whose ids a Python worker keeps at most.
@@ -40,6 +44,9 @@ class PieceTable:
             self.surface[i] = bytes([b])
         skip = set(byte_ids) | {i for i, p in enumerate(pieces) if p in ("<unk>", "<s>", "</s>", "<pad>") or MARK in p[1:]}
         self.ids = {p: (scores[i], i) for i, p in enumerate(pieces) if i not in skip and p}
+        own = sorted(s for s, _ in self.ids.values())
+        if own and all(s == int(s) <= 0 for s in own) and len(set(own)) == len(own):  # merge ranks
+            self.ids = {p: (int(s) + PIECE_SCORE, i) for p, (s, i) in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         # The longest piece that ends in a character: fewer lookups per position.
         self.ending: dict[str, int] = {}
@@ -60,7 +67,7 @@ def shared_prefix_viterbi(words: Iterable[str], table: PieceTable) -> Iterator[t
     """Best pieces of each distinct word (without its mark), in sorted order."""
     ids, ending, byte_ids = table.ids, table.ending, table.byte_ids
     before = ""
-    score, back, piece = [0.0], [0], [-1]  # by length of the prefix; the mark has length 1
+    score, back, piece = [0], [0], [-1]  # by length of the prefix; the mark has length 1
     for word in sorted(set(words)):
         chars = MARK + word.replace(MARK, "\0")  # a literal mark matches no piece
         common_len = 0
@@ -124,7 +131,7 @@ class Codec:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
     codec = Codec.of(path)
-    for b in common.pieces(batches, LETTERS):
+    for b in common.pieces(batches, LETTERS, keep_made=True):
         texts = common.text_list(b)
         flat, offsets = codec.encode(texts)
         ids = [flat[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
