@@ -2,11 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages
 decide for a whole row by its own text or, for near-duplicates, by all rows of their input. Documents with a null text go
-in the first stage, as they have no language.
+in the first stage, as they have no language. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +16,26 @@ from edgelab.llm import common, decontamination, jaccard, langid, quality, sente
 from edgelab.llm.queries import PIECES, tokenizer_path
 from edgelab.shipping import ship
 
-#: A text that needs more bits per letter than this in its best language is in none of the learned ones.
-MOST_BITS = 9.0
 #: Quality below this is rejected.
 LEAST_QUALITY = 0.7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those far from every learned language."""
+    """Rejects documents without a letter and those that need more bits a letter than their language was seen to need."""
     ship(spark)
     model = langid.fit(docs, 3, 1)
-    return langid.predict(docs, model, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("bits") <= MOST_BITS)).select(*docs.columns)
+    names = common.free_names(docs.columns, "lang_pred", "score", "bits")
+    lang, _, bits = map(F.col, names)
+    near = reduce(lambda x, y: x | y, [(lang == g) & (bits <= most) for g, most in sorted(model.most_bits.items())], F.lit(False))
+    return langid.predict(docs, model, docs.columns, names).filter(near).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose quality score is under LEAST_QUALITY."""
     ship(spark)
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"), 4, 2)
-    return quality.score(docs, model, docs.columns).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    (name,) = common.free_names(docs.columns, "score")
+    return quality.score(docs, model, docs.columns, name).filter(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    with common.scratch(spark) as keep:
+        for name, stage in STAGES:
+            docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        return keep(docs)
