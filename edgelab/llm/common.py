@@ -122,6 +122,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def strings(values: pa.Array) -> list[str]:
+    """A string array without nulls as Python strings, made at once rather than by way of a scalar each."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def text_list(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column as Python strings; a null is an empty text."""
     return [t or "" for t in column(batch, name).to_pylist()]

@@ -177,7 +177,7 @@ class Matcher:
         rows = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
         coded = rows.flatten().dictionary_encode()
         offsets = rows.offsets.to_numpy().astype(np.int64) - rows.offsets[0].as_py()
-        terms = [self._term(t) for t in coded.dictionary.to_pylist()]
+        terms = [self._term(t) for t in common.strings(coded.dictionary)]
         codes = coded.indices.to_numpy(zero_copy_only=False)
         ids = np.fromiter((i for _, i in terms), np.int64, len(terms))[codes] if len(terms) else np.zeros(0, np.int64)
         keep = ids != -2  # signs alone are no words

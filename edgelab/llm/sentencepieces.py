@@ -109,9 +109,10 @@ class Codec:
     def of(cls, path: str) -> "Codec":
         return common.made(("sentencepieces", path), lambda: cls(PieceTable.load(path)))
 
-    def _new(self, words: list[str]) -> list[bytes]:
-        found = {w: np.array(p, "<i4").tobytes() for w, p in shared_prefix_viterbi(words, self.table)}
-        return [found[w] for w in words]
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = dict(shared_prefix_viterbi(words, self.table))
+        sizes = np.array([len(found[w]) for w in words], np.int64)
+        return np.array([p for w in words for p in found[w]], np.int32), np.cumsum(sizes) - sizes, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text in it."""

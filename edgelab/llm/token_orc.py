@@ -53,21 +53,26 @@ class WordEncoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _new(self, words: list[str]) -> Iterator[bytes]:
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words with one space, before them, are encoded many at a time: the next word begins with the next token that begins with a space."""
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            joined = [w for w in some if w[:1] == " " and len(w) > 1 and not w[1].isspace() and " " not in w[1:]]
-            ids = np.array(self._ids(["".join(joined)])[0], "<u4") if joined else np.zeros(0, "<u4")
-            cut = [*np.flatnonzero(self.spaced[ids]).tolist(), len(ids)]
-            if len(cut) - 1 != len(joined) or (joined and cut[0]):
-                joined, cut = [], [0]  # a tokenizer of another kind: word by word
-            raw, parts = ids.tobytes(), {}
-            for w, a, z in zip(joined, cut, cut[1:]):
-                parts[w] = raw[4 * a : 4 * z]
-            others = [w for w in some if w not in parts]
-            parts.update(zip(others, (np.array(x, "<u4").tobytes() for x in self._ids(others))))
-            yield from map(parts.__getitem__, some)
+        plain = [k for k, w in enumerate(words) if w[:1] == " " and len(w) > 1 and not w[1].isspace() and " " not in w[1:]]
+        parts, starts, sizes, total = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        done = np.zeros(len(words), bool)
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            ids = np.array(self._ids(["".join([words[k] for k in some])])[0], np.int32)
+            cut = np.flatnonzero(self.spaced[ids])
+            if len(cut) == len(some) and not cut[0]:  # else a tokenizer of another kind: word by word
+                starts[some], sizes[some], done[some] = total + cut, np.diff(cut, append=len(ids)), True
+                parts.append(ids)
+                total += len(ids)
+        rest = np.flatnonzero(~done).tolist()
+        for i in range(0, len(rest), 20_000):
+            for k, ids in zip(rest[i : i + 20_000], self._ids([words[k] for k in rest[i : i + 20_000]])):
+                starts[k], sizes[k] = total, len(ids)
+                parts.append(np.array(ids, np.int32))
+                total += len(ids)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), starts, sizes
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,7 +88,7 @@ class WordEncoder:
         flat, offsets = self.coder.encode(pa.array(plain, pa.string()))
         parts = [flat[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
         for i in runs:
-            parts[i] = np.frombuffer(b"".join(self._new(_WORDS.findall(texts[i]))), "<i4")
+            parts[i] = np.array([t for ids in self._ids(_WORDS.findall(texts[i])) for t in ids], np.int32)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 

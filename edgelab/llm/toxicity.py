@@ -358,7 +358,7 @@ class Scorer:
         coded = rows.flatten().dictionary_encode()
         offsets = rows.offsets.to_numpy().astype(np.int64) - rows.offsets[0].as_py()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        tokens = coded.dictionary.to_pylist()
+        tokens = common.strings(coded.dictionary)
         sizes = np.fromiter(map(core_size, tokens), np.int64, len(tokens))
         found = [self.token(t) for t in tokens]
         has = np.fromiter((bool(f) for f in found), bool, len(tokens))
