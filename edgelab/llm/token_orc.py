@@ -22,6 +22,8 @@ from .wordcoder import WordCoder
 
 #: Rows between two entries of ORC's row index, and the stripe size in bytes; a reader can skip groups and stripes by them.
 ROW_INDEX_STRIDE, STRIPE_BYTES, BLOOM_FPP = 1000, 32 << 20, 0.01
+#: New words encoded as one text.
+JOINED = 100
 # White space as the tokenizer's pattern sees it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -60,7 +62,8 @@ class WordEncoder:
         done = np.zeros(len(words), bool)
         for i in range(0, len(plain), 20_000):
             some = plain[i : i + 20_000]
-            ids = np.array(self._ids(["".join([words[k] for k in some])])[0], np.int32)
+            texts = ["".join([words[k] for k in some[a : a + JOINED]]) for a in range(0, len(some), JOINED)]
+            ids = np.concatenate([np.array(x, np.int32) for x in self._ids(texts)])
             cut = np.flatnonzero(self.spaced[ids])
             if len(cut) == len(some) and not cut[0]:  # else a tokenizer of another kind: word by word
                 starts[some], sizes[some], done[some] = total + cut, np.diff(cut, append=len(ids)), True
