@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .kernels import MENU, recurrences, trend_line
+from .kernels import trend_line
 from .windows import series, back, col, full, lag, roll, truth
 
 
@@ -73,14 +73,24 @@ def atr(df: DataFrame, n: int = 14, out: str = "atr", shifted: bool = True) -> D
     return x.withColumn(out, lag(out)) if shifted else x
 
 
-def scan_menu(bars: DataFrame) -> DataFrame:
-    """The indicators that are recurrences: EMA, TEMA, RMA, ATR, RSI, MACD, KAMA, VIDYA, TSI, Keltner.
+MENU = ["ema9", "tema9", "atr14", "rsi14", "macd", "macd_signal", "kama10", "vidya12", "tsi", "keltner_high", "keltner_low"]
+
 
-    A menu needs many recurrences of a series at once, so the series goes to one kernel that makes them all; a single long
-    recurrence is scan.affine_scan's case."""
+def scan_menu(bars: DataFrame) -> DataFrame:
+    """The indicators that are recurrences: EMA, TEMA, ATR, RSI, MACD, KAMA, VIDYA, TSI, Keltner; those of equal depth share a block scan."""
     x = with_steps(bars)
     x = x.withColumn("sc", F.pow(F.coalesce(efficiency_ratio(10), F.lit(0.0)) * (2 / 3 - 2 / 31) + 2 / 31, F.lit(2.0))).withColumn("vk", F.coalesce(F.abs(cmo(9)) / 100, F.lit(0.0)) * (2 / 13))
-    return x.select("symbol", "i", "close", "tr", "step", "sc", "vk").groupBy("symbol").applyInPandas(recurrences, "symbol string, i long, " + ", ".join(f"{c} double" for c in MENU))
+    x = x.select("symbol", "i", "close", "tr", "step", "sc", "vk")
+    step = F.col("step")
+    x = scan.scan_many(x, {
+        "ema9": scan.span("close", 9), "atr14": scan.wilder("tr", 14), "gain": scan.wilder(F.greatest(step, F.lit(0.0)), 14), "loss": scan.wilder(F.greatest(-step, F.lit(0.0)), 14), "fast": scan.span("close", 12), "slow": scan.span("close", 26),
+        "kama10": scan.smoothing("close", F.col("sc")), "vidya12": scan.smoothing("close", F.col("vk")), "m1": scan.wilder("step", 25), "a1": scan.wilder(F.abs(step), 25),
+    })
+    x = x.withColumn("macd", F.col("fast") - F.col("slow"))
+    x = scan.scan_many(x, {"e2": scan.span("ema9", 9), "macd_signal": scan.span("macd", 9), "m2": scan.wilder("m1", 13), "a2": scan.wilder("a1", 13)})
+    x = scan.scan_many(x, {"e3": scan.span("e2", 9)})
+    rsi = F.when(F.col("loss") > 0, 100 - 100 / (1 + F.try_divide("gain", "loss"))).otherwise(F.lit(100.0))
+    return x.select("symbol", "i", "ema9", (3 * (F.col("ema9") - F.col("e2")) + F.col("e3")).alias("tema9"), "atr14", rsi.alias("rsi14"), "macd", "macd_signal", "kama10", "vidya12", (100 * F.try_divide("m2", F.when(F.col("a2") > 0, F.col("a2")))).alias("tsi"), (F.col("slow") + 2 * F.col("atr14")).alias("keltner_high"), (F.col("slow") - 2 * F.col("atr14")).alias("keltner_low"))
 
 
 def super_trend(bars: DataFrame, n: int = 10, mult: float = 3.0) -> DataFrame:

@@ -85,35 +85,3 @@ def trend_line(pdf: pd.DataFrame, mult: float) -> pd.DataFrame:
         line.append(float(now))
         up.append(side)
     return pdf[["symbol", "i"]].assign(super_trend=line, super_trend_up=up)
-
-
-MENU = ["ema9", "tema9", "atr14", "rsi14", "macd", "macd_signal", "kama10", "vidya12", "tsi", "keltner_high", "keltner_low"]
-
-
-def recurrences(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All smoothed indicators of one series in one pass, from close, tr, step and the weights sc (KAMA) and vk (VIDYA)."""
-    pdf = pdf.sort_values("i").reset_index(drop=True)
-    span = lambda x, n: x.ewm(span=n, adjust=False).mean()
-    wilder = lambda x, n: x.ewm(alpha=1 / n, adjust=False).mean()
-
-    def varying(weight: pd.Series) -> np.ndarray:
-        out = pdf["close"].to_numpy(float).copy()
-        for t, w in enumerate(weight.to_numpy(float)[1:], 1):
-            out[t] = out[t - 1] + w * (out[t] - out[t - 1])
-        return out
-
-    c, step = pdf["close"], pdf["step"]
-    one = span(c, 9)
-    two = span(one, 9)
-    gain, loss = wilder(step.clip(lower=0), 14), wilder((-step).clip(lower=0), 14)
-    slow, atr = span(c, 26), wilder(pdf["tr"], 14)
-    macd = span(c, 12) - slow
-    path = span(span(step.abs(), 25), 13)
-    out = pdf[["symbol", "i"]].copy()
-    out["ema9"], out["tema9"], out["atr14"] = one, 3 * (one - two) + span(two, 9), atr
-    out["rsi14"] = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss.where(loss != 0, 1.0)))
-    out["macd"], out["macd_signal"] = macd, span(macd, 9)
-    out["kama10"], out["vidya12"] = varying(pdf["sc"]), varying(pdf["vk"])
-    out["tsi"] = 100 * span(span(step, 25), 13) / path.where(path != 0)
-    out["keltner_high"], out["keltner_low"] = slow + 2 * atr, slow - 2 * atr
-    return out.astype(object).where(out.notna(), None)

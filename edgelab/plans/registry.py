@@ -117,13 +117,13 @@ def _step(old: str, alpha: str, new: str) -> str:
     return f"(1 - {alpha}) * {old} + {alpha} * {new}"
 
 
-_E = {"ema9": ("0.2", "x.close"), "rma_tr": ("(1.0/14)", "x.tr"), "gain": ("(1.0/14)", "greatest(x.step, 0.0)"), "loss": ("(1.0/14)", "greatest(-x.step, 0.0)"), "fast": ("(2.0/13)", "x.close"), "slow": ("(2.0/27)", "x.close"), "kama10": ("x.sc", "x.close"), "vidya12": ("x.vk", "x.close"), "m1": ("(2.0/26)", "x.step"), "a1": ("(2.0/26)", "abs(x.step)")}
+_E = {"ema9": ("0.2", "x.close"), "rma_tr": ("(1.0/14)", "x.tr"), "gain": ("(1.0/14)", "greatest(x.step, 0.0)"), "loss": ("(1.0/14)", "greatest(-x.step, 0.0)"), "fast": ("(2.0/13)", "x.close"), "slow": ("(2.0/27)", "x.close"), "kama10": ("x.sc", "x.close"), "vidya12": ("x.vk", "x.close"), "m1": ("(1.0/25)", "x.step"), "a1": ("(1.0/25)", "abs(x.step)")}
 _N = {k: _step(f"r.{k}", a, x) for k, (a, x) in _E.items()}
 _N["e2"] = _step("r.e2", "0.2", f"({_N['ema9']})")
 _N["e3"] = _step("r.e3", "0.2", f"({_N['e2']})")
 _N["macd_signal"] = _step("r.macd_signal", "0.2", f"(({_N['fast']}) - ({_N['slow']}))")
-_N["m2"] = _step("r.m2", "(2.0/14)", f"({_N['m1']})")
-_N["a2"] = _step("r.a2", "(2.0/14)", f"({_N['a1']})")
+_N["m2"] = _step("r.m2", "(1.0/13)", f"({_N['m1']})")
+_N["a2"] = _step("r.a2", "(1.0/13)", f"({_N['a1']})")
 _FIRST = {"ema9": "close", "rma_tr": "tr", "gain": "greatest(step, 0.0)", "loss": "greatest(-step, 0.0)", "fast": "close", "slow": "close", "kama10": "close", "vidya12": "close", "m1": "step", "a1": "abs(step)", "e2": "close", "e3": "close", "macd_signal": "0.0", "m2": "step", "a2": "abs(step)"}
 SCAN_COLUMNS = "ema9 tema9 atr14 rsi14 macd macd_signal kama10 vidya12 tsi keltner_high keltner_low"
 _INPUTS = f"""{BASE},
@@ -488,3 +488,6 @@ def account_evaluation(spark, sf_dir):
     rule = {"mll": 2000.0, "lock": 0.0, "target": 3000.0, "consistency": 0.5, "dll": None, "min_days": 2, "realtime": True}
     days = account.day_results(t.select("day").distinct(), t, rule["dll"])
     return account.simulate_accounts(days, rule, 8_000).groupBy("status").agg(F.sum("accounts").alias("accounts"), F.avg("mean_day").alias("mean_day"))
+
+
+from . import signal_queries  # noqa: E402, F401
