@@ -138,3 +138,50 @@ def cscv_splits(sums: DataFrame, combos: DataFrame) -> DataFrame:
 def pbo(splits: DataFrame) -> DataFrame:
     """Probability of backtest overfitting and what goes with it, over all splits."""
     return splits.agg(F.count("*").alias("combinations"), F.avg((F.col("lambda") <= 0).cast("int")).alias("pbo"), F.percentile("lambda", 0.5).alias("lambda_median"), F.regr_slope("oos_metric", "is_metric").alias("slope"), F.regr_intercept("oos_metric", "is_metric").alias("intercept"), F.avg((F.col("oos_metric") < 0).cast("int")).alias("prob_oos_loss"), F.percentile("oos_metric", 0.5).alias("oos_median"), F.percentile("is_metric", 0.5).alias("is_median"))
+
+
+def slice_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The count test of a family and of its slices by each key alone, by grouping sets over one pass of the judged cells.
+    Slices that a key does not cut show `all` or 0 for it."""
+    null = cells.filter("perm > 0")
+    limits = null.groupBy(*keys).agg(F.percentile(F.abs("t"), 0.95).alias("limit"))
+    live = cells.filter("perm = 0 and t is not null").select(*keys).join(limits, keys)
+    judged = cells.join(live, keys).withColumn("above", F.coalesce((F.abs("t") > F.col("limit")).cast("long"), F.lit(0)))
+    sets = [["perm"], *(["perm", k] for k in keys)]
+    counts = judged.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in ["perm", *keys])).agg(F.sum("above").alias("over"))
+    kinds = dict(cells.dtypes)
+    named = counts.select("perm", "over", *(F.coalesce(F.col(k), F.lit("all") if kinds[k] == "string" else F.lit(0)).alias(k) for k in keys))
+    seen = named.filter("perm = 0").select(*keys, F.col("over").alias("seen"))
+    g = named.filter("perm > 0").join(seen, keys).groupBy(*keys, "seen").agg(F.count("*").alias("n"), F.sum((F.col("over") >= F.col("seen")).cast("long")).alias("k"))
+    return g.select(*keys, F.col("seen").alias("cells_over"), ((1 + F.col("k")) / (1 + F.col("n"))).alias("p_count"))
+
+
+def winner_support(cells: DataFrame, market: str, keys: list[str]) -> DataFrame:
+    """The cell with the largest |t|, against the median of its market's other cells, and the same cell on the other markets:
+    they agree if all have its sign and one of them reaches 1.5. cells: one row for each market and keys."""
+    live = cells.filter("t is not null").select(market, *keys, "t")
+    best = live.orderBy(F.desc(F.abs("t")), market, *keys).limit(1).select(F.col(market).alias("w_market"), *(F.col(k).alias(f"w_{k}") for k in keys), F.col("t").alias("w_t"))
+    same_cell = F.lit(True)
+    for k in keys:
+        same_cell = same_cell & (F.col(k) == F.col(f"w_{k}"))
+    # One row, the winner, goes to the cells.
+    x = live.join(F.broadcast(best)).withColumn("same_cell", same_cell).withColumn("same_market", F.col(market) == F.col("w_market"))
+    peer, other = F.when(F.col("same_market") & ~F.col("same_cell"), F.abs("t")), F.col("same_cell") & ~F.col("same_market")
+    g = x.groupBy("w_market", *(f"w_{k}" for k in keys), "w_t").agg(F.percentile(peer, 0.5).alias("peer_median"), F.count(F.when(other, 1)).alias("others"), F.min(F.when(other, (F.signum("t") == F.signum("w_t")).cast("int"))).alias("same"), F.max(F.when(other, F.abs("t"))).alias("most"))
+    return g.select(F.col("w_market").alias(market), *(F.col(f"w_{k}").alias(k) for k in keys), F.col("w_t").alias("winner_t"), "peer_median", F.try_divide(F.abs("w_t"), F.col("peer_median")).alias("peer_ratio"), "others", F.coalesce((F.col("same") == 1) & (F.col("most") >= 1.5), F.lit(False)).alias("others_agree"))
+
+
+def signed_pvalues(cells: DataFrame, keys: list[str], value: str = "vr") -> DataFrame:
+    """One-sided: the share of draws at or below the real market's value."""
+    real = cells.filter("perm = 0").select(*keys, F.col(value).alias("seen"))
+    g = cells.filter("perm > 0").join(real, keys).groupBy(*keys, "seen").agg(F.count("*").alias("n"), F.sum((F.col(value) <= F.col("seen")).cast("long")).alias("k"))
+    return g.select(*keys, F.col("seen").alias(value), ((1 + F.coalesce("k", F.lit(0))) / (1 + F.col("n"))).alias("p_below"))
+
+
+def deviation_difference(cells: DataFrame, keys: list[str], arm: str, first: str, second: str, value: str) -> DataFrame:
+    """Difference of two arms' deviations from their own null means, for the market and every draw: what their starting
+    geometry alone would make of them is taken out."""
+    mean = cells.filter("perm > 0").groupBy(*keys, arm).agg(F.avg(value).alias("mean"))
+    x = cells.join(mean, [*keys, arm]).withColumn("dev", F.col(value) - F.col("mean"))
+    g = x.groupBy("perm", *keys).agg(F.max(F.when(F.col(arm) == first, F.col("dev"))).alias("a"), F.max(F.when(F.col(arm) == second, F.col("dev"))).alias("b"))
+    return g.select("perm", *keys, (F.col("a") - F.col("b")).alias("t"))
