@@ -17,7 +17,7 @@ def bar_checks(bars: DataFrame, step: int | None = None) -> DataFrame:
     bad = (h < F.greatest(o, c) - tol) | (lo > F.least(o, c) + tol) | (h < lo - tol)
     x = bars.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts")))
     usual = x.groupBy("symbol", "gap").count().filter("gap is not null").groupBy("symbol").agg(F.max_by("gap", F.struct("count", -F.col("gap"))).alias("usual"))
-    x = x.join(F.broadcast(usual) if step is None else usual.withColumn("usual", F.lit(step)), "symbol", "left")
+    x = x.join(usual, "symbol", "left") if step is None else x.withColumn("usual", F.lit(step))
     n = lambda cond: F.sum(truth(cond).cast("long"))
     g = x.groupBy("symbol").agg(F.count("*").alias("bars"), n(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in ("open", "high", "low", "close", "volume")])).alias("nulls"), n(bad).alias("insane"), (F.count("*") - F.count_distinct("ts")).alias("duplicates"), n(F.col("gap") != F.col("usual")).alias("odd_gaps"), n(F.col("volume") <= 0).alias("zero_volume"))
     rows = F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("n"), v.alias("verdict")) for k, v in (
@@ -49,23 +49,37 @@ def coverage(bars: DataFrame) -> DataFrame:
     return g.select("symbol", "days", weekdays.cast("long").alias("weekdays"), "largest_gap")
 
 
+QUOTE = {"bid": (0, "price"), "ask": (1, "price"), "bid_size": (0, "size"), "ask_size": (1, "size")}
+
+
 def quotes(ticks: DataFrame) -> DataFrame:
-    """Each tick with the last bid and ask known at it."""
-    w = Window.partitionBy("symbol").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda kind, c: F.last(F.when(F.col("type") == kind, F.col(c)), ignorenulls=True).over(w)
-    return ticks.select("*", last(0, "price").alias("bid"), last(1, "price").alias("ask"), last(0, "size").alias("bid_size"), last(1, "size").alias("ask_size"))
+    """Each tick with the last bid and ask known at it, and those known at the tick before (prev_...).
+
+    Ticks are filled forward within a day; what a day starts with comes from the days before, one row for each symbol and
+    day, so that no task holds more than one day of one symbol."""
+    x = ticks.withColumn("day", F.floor(F.col("ts") / 86400))
+    known = {c: F.when(F.col("type") == kind, F.col(v)) for c, (kind, v) in QUOTE.items()}
+    ends = x.groupBy("symbol", "day").agg(*(F.max_by(v, F.when(v.isNotNull(), F.struct("ts", "seq"))).alias(c) for c, v in known.items()))
+    d = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("symbol", "day", *(F.last(c, ignorenulls=True).over(d).alias(f"start_{c}") for c in QUOTE))
+    w = Window.partitionBy("symbol", "day").orderBy("ts", "seq")
+    y = x.join(starts, ["symbol", "day"])
+    for rows, name in ((w.rowsBetween(Window.unboundedPreceding, 0), ""), (w.rowsBetween(Window.unboundedPreceding, -1), "prev_")):
+        for c, v in known.items():
+            y = y.withColumn(name + c, F.coalesce(F.last(v, ignorenulls=True).over(rows), F.col(f"start_{c}")))
+    return y.drop("day", *(f"start_{c}" for c in QUOTE))
 
 
 def spread_summary(quoted: DataFrame) -> DataFrame:
+    """Quoted spreads that are sane: count, mean, quantiles."""
     s = quoted.withColumn("spread", F.col("ask") - F.col("bid")).filter("spread > 0 and spread < 50")
     return s.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("spread").alias("mean"), F.percentile("spread", 0.5).alias("median"), F.percentile("spread", 0.9).alias("p90"), F.percentile("spread", 0.99).alias("p99"))
 
 
 def order_flow(quoted: DataFrame, seconds: int = 3600) -> DataFrame:
     """Order-flow imbalance of quote updates and signed trade volume, by interval."""
-    w = Window.partitionBy("symbol").orderBy("ts", "seq")
     b, a, bs, as_ = (F.col(x) for x in ("bid", "ask", "bid_size", "ask_size"))
-    pb, pa, pbs, pas = (F.lag(x).over(w) for x in ("bid", "ask", "bid_size", "ask_size"))
+    pb, pa, pbs, pas = (F.col(f"prev_{x}") for x in ("bid", "ask", "bid_size", "ask_size"))
     on = lambda cond, v: F.when(cond, v).otherwise(0.0)
     flow = on(b >= pb, bs) - on(b <= pb, pbs) - on(a <= pa, as_) + on(a >= pa, pas)
     near = lambda x, y: F.abs(x - y) <= 1e-8 + 1e-5 * F.abs(y)

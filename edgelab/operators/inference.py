@@ -42,48 +42,71 @@ def welch(events: DataFrame, value: str = "ret", keys: list[str] = WELCH, least:
     return g.select(*keys, F.col("n_l").alias("n_long"), F.col("n_s").alias("n_short"), F.when(enough, d).alias("d"), F.when(enough & (se > 0), F.try_divide(d, se)).alias("t"))
 
 
-def permuted_bars(grouped: DataFrame, perms: int, seed: int = 1) -> DataFrame:
+def permuted_bars(grouped: DataFrame, perms: int, seed: int = 1, start: int = 0, shared: bool = False) -> DataFrame:
     """Bars of `perms` draws and, as perm 0, the given ones.
 
     In log space each bar is a gap from the last close and a shape around its open. Shapes (with volume) and gaps are dealt
-    anew, separately, among the bars of a symbol's group; time stamps stay. Order comes from md5, so it is the same in any
-    engine and on any cluster. All steps are windows and joins with perm as a key."""
+    anew, separately, among the bars of a symbol's group that come after bar `start`; time stamps stay, and so do the bars up
+    to `start`. shared: all symbols are dealt alike. Order comes from md5, so it is the same in any engine and on any cluster.
+
+    Groups 2k and 2k + 1 share a stretch of bars, the session k. Dealing within groups leaves a session's sums as they are, so
+    each session starts from the close before it in the given market. A session is gathered into one row once; draws are made
+    from that row, and no draw is shuffled."""
     s = Window.partitionBy("symbol").orderBy("i")
     lo = grouped.select("symbol", "group", "i", "ts", "volume", *(F.ln(c).alias(f"l{c[0]}") for c in ("open", "high", "low", "close")))
-    parts = lo.select("symbol", "group", "i", "ts", "volume", (F.col("lo") - F.lag("lc").over(s)).alias("gap"), (F.col("lh") - F.col("lo")).alias("rh"), (F.col("ll") - F.col("lo")).alias("rl"), (F.col("lc") - F.col("lo")).alias("rc"), F.min_by("lc", "i").over(Window.partitionBy("symbol")).alias("c0"))
-    spread = parts.filter("i > 0").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    keys = ["perm", "symbol", "group"]
-    slots = spread.select(*keys, "i", "ts", "c0", F.row_number().over(Window.partitionBy(*keys).orderBy("i")).alias("rk"))
-    drawn = lambda stream: F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.lit(stream), F.col("perm"), F.col("symbol"), F.col("i")).cast("binary")), "i"))
-    shapes = spread.select(*keys, "rh", "rl", "rc", "volume", drawn(1).alias("rk"))
-    gaps = spread.select(*keys, "gap", drawn(2).alias("rk"))
-    x = slots.join(shapes, [*keys, "rk"]).join(gaps, [*keys, "rk"])
-    w = Window.partitionBy("perm", "symbol").orderBy("i")
-    x = x.withColumn("lc", F.col("c0") + F.sum(F.col("gap") + F.col("rc")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("lo", F.coalesce(F.lag("lc").over(w), F.col("c0")) + F.col("gap"))
-    new = x.select("perm", "symbol", "i", "ts", F.exp("lo").alias("open"), F.exp(F.col("lo") + F.col("rh")).alias("high"), F.exp(F.col("lo") + F.col("rl")).alias("low"), F.exp("lc").alias("close"), "volume")
-    real = grouped.select(F.lit(0).alias("perm"), "symbol", "i", "ts", "open", "high", "low", "close", "volume")
-    head = grouped.filter("i = 0").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms)))).select(*real.columns)
+    parts = lo.select("symbol", "group", "i", "ts", "volume", (F.col("lo") - F.lag("lc").over(s)).alias("gap"), (F.col("lh") - F.col("lo")).alias("rh"), (F.col("ll") - F.col("lo")).alias("rl"), (F.col("lc") - F.col("lo")).alias("rc"), F.lag("lc").over(s).alias("before"))
+    rows = parts.filter(F.col("i") > start).groupBy("symbol", F.floor(F.col("group") / 2).alias("block")).agg(F.array_sort(F.collect_list(F.struct("group", "i", "ts", "gap", "rh", "rl", "rc", "volume"))).alias("rows"), F.min_by("before", "i").alias("base"))
+    drawn = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
+
+    def dealt(stream: int) -> Column:
+        """The bars of each group in the order of a draw, one group after the other."""
+        symbol = [] if shared else [F.col("symbol")]
+        key = lambda r: F.md5(F.concat_ws(":", F.lit(seed), F.lit(stream), F.col("perm"), *symbol, r["i"]).cast("binary"))
+        return F.transform(F.array_sort(F.transform("rows", lambda r: F.struct(r["group"].alias("group"), key(r).alias("h"), r["i"].alias("i"), r.alias("r")))), lambda x: x["r"])
+
+    zipped = drawn.select("perm", "symbol", "base", F.arrays_zip(F.col("rows").alias("slot"), dealt(1).alias("shape"), dealt(2).alias("jump")).alias("z"))
+    zipped = zipped.withColumn("z", F.transform(F.array_sort(F.transform("z", lambda z: F.struct(z["slot"]["i"].alias("i"), z.alias("z")))), lambda x: x["z"]))
+    state = F.struct(F.col("base").alias("lc"), F.array().cast("array<struct<i:bigint,ts:bigint,lo:double,rh:double,rl:double,lc:double,volume:double>>").alias("out"))
+
+    def step(acc: Column, z: Column) -> Column:
+        lo_, shape = acc["lc"] + z["jump"]["gap"], z["shape"]
+        lc = lo_ + shape["rc"]
+        row = F.struct(z["slot"]["i"].cast("bigint").alias("i"), z["slot"]["ts"].cast("bigint").alias("ts"), lo_.alias("lo"), shape["rh"].alias("rh"), shape["rl"].alias("rl"), lc.alias("lc"), shape["volume"].cast("double").alias("volume"))
+        return F.struct(lc.alias("lc"), F.array_append(acc["out"], row).alias("out"))
+
+    b = zipped.select("perm", "symbol", F.explode(F.aggregate("z", state, step, lambda acc: acc["out"])).alias("b")).select("perm", "symbol", "b.*")
+    new = b.select("perm", "symbol", "i", "ts", F.exp("lo").alias("open"), F.exp(F.col("lo") + F.col("rh")).alias("high"), F.exp(F.col("lo") + F.col("rl")).alias("low"), F.exp("lc").alias("close"), "volume")
+    real = grouped.select(F.lit(0).alias("perm"), "symbol", F.col("i").cast("long").alias("i"), F.col("ts").cast("long").alias("ts"), "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"))
+    head = real.filter(F.col("i") <= start).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms)))).select(*real.columns)
     return real.unionByName(head).unionByName(new)
 
 
+def coarser_draws(draws: DataFrame, seconds: int) -> DataFrame:
+    """Coarser bars of each draw from its own fine bars, so that the time frames of a draw belong together."""
+    g = draws.withColumn("bar", F.floor(F.col("ts") / seconds) * seconds).groupBy("perm", "symbol", "bar").agg(F.min_by("open", "i").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "i").alias("close"), F.sum("volume").alias("volume"))
+    return g.withColumnRenamed("bar", "ts").withColumn("i", F.row_number().over(Window.partitionBy("perm", "symbol").orderBy("ts")).cast("long") - 1)
+
+
 def family_pvalues(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of family tests from (keys, perm, t), perm 0 the real market: greatest |t|, and cells above the 95th percentile of their own null."""
+    """One row of family tests from (keys, perm, t), perm 0 the real market: greatest |t|, and cells above the 95th percentile of
+    their own null. All draws count, also those that lack a cell, and a live cell without a null stays in the greatest. Give cells that are kept (persisted): they are read several times."""
     null, real = cells.filter("perm > 0").withColumn("a", F.abs("t")), cells.filter("perm = 0 and t is not null").withColumn("r", F.abs("t")).select(*keys, "r")
     limit = null.groupBy(*keys).agg(F.percentile("a", 0.95).alias("limit"))
-    judged = real.join(limit, keys)
-    perms = null.groupBy("perm").agg(F.max("a").alias("most")).join(null.join(judged, keys).groupBy("perm").agg(F.sum((F.col("a") > F.col("limit")).cast("long")).alias("over")), "perm", "left")
-    seen = judged.agg(F.max("r").alias("observed_max"), F.sum((F.col("r") > F.col("limit")).cast("long")).alias("cells_over"), F.count("*").alias("live_cells"))
+    judged = real.join(limit, keys, "left")
+    above = lambda c: F.coalesce((F.col(c) > F.col("limit")).cast("long"), F.lit(0))
+    perms = null.join(judged, keys, "left").groupBy("perm").agg(F.max("a").alias("most"), F.sum(F.when(F.col("r").isNotNull(), above("a")).otherwise(0)).alias("over"))
+    seen = judged.agg(F.max("r").alias("observed_max"), F.sum(above("r")).alias("cells_over"), F.count("*").alias("live_cells"))
     # `seen` is one row, the family's own statistic.
     x = perms.join(F.broadcast(seen))
-    return x.groupBy("observed_max", "cells_over", "live_cells").agg(F.count("*").alias("permutations"), ((1 + F.sum((F.col("most") >= F.col("observed_max")).cast("long"))) / (1 + F.count("*"))).alias("p_max"), ((1 + F.sum((F.coalesce("over", F.lit(0)) >= F.col("cells_over")).cast("long"))) / (1 + F.count("*"))).alias("p_count"))
+    return x.groupBy("observed_max", "cells_over", "live_cells").agg(F.count("*").alias("permutations"), ((1 + F.sum(F.coalesce((F.col("most") >= F.col("observed_max")).cast("long"), F.lit(0)))) / (1 + F.count("*"))).alias("p_max"), ((1 + F.sum((F.col("over") >= F.col("cells_over")).cast("long"))) / (1 + F.count("*"))).alias("p_count"))
 
 
-def cell_pvalues(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of draws at least as extreme, and deviation from the cell's own null mean in its standard deviations."""
+def cell_pvalues(cells: DataFrame, keys: list[str], draws: int | None = None) -> DataFrame:
+    """Share of draws at least as extreme, and deviation from the cell's own null mean in its standard deviations. draws: how
+    many there were, for cells that some draws lack."""
     null, real = cells.filter("perm > 0"), cells.filter("perm = 0 and t is not null").select(*keys, F.col("t").alias("r"))
-    x = null.join(real, keys).groupBy(*keys, "r").agg(F.sum((F.abs("t") >= F.abs("r")).cast("long")).alias("k"), F.count("*").alias("n"), F.avg("t").alias("m"), F.stddev_pop("t").alias("sd"))
-    return x.select(*keys, F.col("r").alias("t"), ((1 + F.coalesce("k", F.lit(0))) / (1 + F.col("n"))).alias("p_cell"), F.try_divide(F.col("r") - F.col("m"), "sd").alias("z"))
+    x = real.join(null, keys, "left").groupBy(*keys, "r").agg(F.sum((F.abs("t") >= F.abs("r")).cast("long")).alias("k"), F.count("perm").alias("n"), F.avg("t").alias("m"), F.stddev_pop("t").alias("sd"))
+    return x.select(*keys, F.col("r").alias("t"), ((1 + F.coalesce("k", F.lit(0))) / (1 + (F.lit(draws) if draws else F.col("n")))).alias("p_cell"), F.try_divide(F.col("r") - F.col("m"), "sd").alias("z"))
 
 
 def runs_of(df: DataFrame, active: Column, least: int) -> DataFrame:
@@ -109,9 +132,10 @@ def variance_ratio(returns: DataFrame, q: int, segmented: bool = False) -> DataF
 
 def block_sums(trials: DataFrame, blocks: int) -> DataFrame:
     """(cfg, block) sums that the Sharpe ratio needs, from (cfg, t, pnl) with t from 0; rows beyond equal blocks are dropped."""
-    spark = trials.sparkSession
-    length = trials.agg(F.max("t") + 1).first()[0] // blocks
-    return trials.filter(F.col("t") < length * blocks).groupBy("cfg", F.floor(F.col("t") / length).alias("block")).agg(F.count("*").alias("n"), F.sum("pnl").alias("x"), F.sum(F.col("pnl") * F.col("pnl")).alias("xx"))
+    length = F.floor((F.col("last") + 1) / blocks)
+    x = trials.join(F.broadcast(trials.agg(F.max("t").alias("last"))))  # one row: how long the trials are
+    x = x.withColumn("length", length)
+    return x.filter(F.col("t") < F.col("length") * blocks).groupBy("cfg", F.floor(F.col("t") / F.col("length")).alias("block")).agg(F.count("*").alias("n"), F.sum("pnl").alias("x"), F.sum(F.col("pnl") * F.col("pnl")).alias("xx"))
 
 
 def combinations(spark, blocks: int) -> DataFrame:

@@ -278,7 +278,7 @@ def _cells(spark, sf_dir):
     horizons = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"r{h}").alias("ret")) for h in (1, 4))))
     x = x.withColumn("r1", F.ln(F.lead("close", 1).over(w)) - F.ln("close")).withColumn("r4", F.ln(F.lead("close", 4).over(w)) - F.ln("close"))
     e = x.select("perm", "symbol", F.when(F.col("mom") > 0, 1).when(F.col("mom") < 0, -1).alias("side"), horizons.alias("o")).select("perm", "symbol", "side", "o.*").filter("side is not null")
-    return inference.welch(e, "ret", ["perm", "symbol", "horizon"], 10)
+    return inference.welch(e, "ret", ["perm", "symbol", "horizon"], 10).persist()  # a row for each draw and cell, read several times
 
 
 CELLS = f"""{PERMUTED}, mo AS (SELECT perm, symbol, ln(close) - ln(lag(close, 3) OVER w) AS mom, ln(lead(close, 1) OVER w) - ln(close) AS r1, ln(lead(close, 4) OVER w) - ln(close) AS r4 FROM permuted WINDOW w AS (PARTITION BY perm, symbol ORDER BY i)),
