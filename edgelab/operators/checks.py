@@ -86,3 +86,21 @@ def order_flow(quoted: DataFrame, seconds: int = 3600) -> DataFrame:
     sign = F.when(F.col("type") != 2, 0).when(truth(near(F.col("price"), a)), 1).when(truth(near(F.col("price"), b)), -1).otherwise(0)
     x = quoted.withColumn("ofi", F.when(F.col("type") < 2, F.when(pb.isNotNull() & pa.isNotNull(), flow))).withColumn("sign", sign)
     return x.groupBy("symbol", (F.floor(F.col("ts") / seconds) * seconds).alias("ts")).agg(F.sum("ofi").alias("ofi"), F.sum(F.col("sign") * F.col("size")).alias("signed_volume"), F.sum(F.when(F.col("type") == 2, F.col("size")).otherwise(0.0)).alias("volume"), F.avg(F.col("ask") - F.col("bid")).alias("mean_spread"), F.count("*").alias("updates"))
+
+
+def merge_flow(flow: DataFrame) -> DataFrame:
+    """Order-flow bars of several files with the same stamp become one: flows and volumes add up, the mean spread is the mean of means."""
+    return flow.groupBy("symbol", "ts").agg(*(F.sum(c).alias(c) for c in ("ofi", "signed_volume", "volume")), F.avg("mean_spread").alias("mean_spread"), F.sum("updates").alias("updates"), F.count("*").alias("parts"))
+
+
+def bias_battery(trades: DataFrame, bars: DataFrame, surface: DataFrame, keys: list[str], order: list[str], regime: str) -> DataFrame:
+    """(check, verdict) of the bias checks that a strategy's trades, bars and parameter surface (x, y, v) can fail."""
+    from . import trading
+
+    worst = F.when(F.count(F.when(F.col("verdict") == "fail", 1)) > 0, "fail").when(F.count(F.when(F.col("verdict") == "warn", 1)) > 0, "warn").otherwise("pass").alias("verdict")
+    named = lambda df, name: df.agg(worst).select(F.lit(name).alias("check"), "verdict")
+    luck = trading.luck(trades, keys, order)
+    runs = trading.runs_test(trades, keys, order).withColumn("verdict", F.when(F.abs("z") > 3, "warn").otherwise("pass"))
+    near = trading.plateau(surface, "x", "y", "v").withColumn("verdict", F.when((F.col("v") > 0) & (F.col("near_mean") <= 0), "warn").otherwise("pass"))
+    gaps = coverage(bars).withColumn("verdict", F.when(F.col("largest_gap") > 7, "warn").otherwise("pass"))
+    return reduce(DataFrame.unionByName, [named(luck, "luck"), named(runs, "runs"), named(near, "plateau"), named(trading.regime_balance(trades, regime), "regimes"), named(gaps, "coverage")])

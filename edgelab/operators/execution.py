@@ -60,9 +60,10 @@ def trailing_trades(signals: DataFrame, bars: DataFrame, after: int, stop: float
     h = h.withColumn("armed", F.col("best") - F.col("e") >= trail_after).withColumn("level", F.greatest(F.col("e") - stop, F.when(F.col("armed"), F.col("best") - trail)))
     last = F.lead("i").over(w).isNull()
     goal = F.col("e") + target
-    out = F.when(F.col("o") <= F.col("level"), F.struct(F.col("o").alias("px"), F.when(F.col("armed"), "trail").otherwise("gap_stop").alias("reason")))
-    out = out.when(F.col("lo") <= F.col("level"), F.struct(F.col("level"), F.when(F.col("armed"), "trail").otherwise("stop"))).when(F.col("hi") >= goal, F.struct(goal, F.lit("target")))
-    out = out.when(last, F.struct(F.col("c"), F.lit("session_close")))
+    at = lambda px, reason: F.struct(px.alias("px"), reason.alias("reason"))
+    trailed = lambda otherwise: F.when(F.col("armed"), "trail").otherwise(otherwise)
+    out = F.when(F.col("o") <= F.col("level"), at(F.col("o"), trailed("gap_stop"))).when(F.col("lo") <= F.col("level"), at(F.col("level"), trailed("stop")))
+    out = out.when(F.col("hi") >= goal, at(goal, F.lit("target"))).when(last, at(F.col("c"), F.lit("session_close")))
     h = h.withColumn("out", out).filter("out is not null").withColumn("closed", F.col("out.reason") == "session_close")
     best, worst = F.when(F.col("closed"), F.greatest("best", "hi")).otherwise(F.col("best")), F.when(F.col("closed"), F.least("worst", "lo")).otherwise(F.col("worst"))
     first = h.withColumn("n", F.row_number().over(w)).filter("n = 1")
@@ -123,7 +124,7 @@ def range_retests(fine: DataFrame, middle: DataFrame, coarse: DataFrame, coarse_
     in_range, before = (m >= start) & (m < start + range_minutes), m < start
     day = x.groupBy("symbol", "session").agg(F.count(F.when(in_range, 1)).alias("n_range"), F.count(F.when(before, 1)).alias("n_before"), *(f(F.when(c, F.col(v))).alias(n) for c, p in ((in_range, "r"), (before, "p")) for f, v, n in ((F.max, "high", f"{p}_high"), (F.min, "low", f"{p}_low"))))
     day = day.filter((F.col("n_range") >= least_range) & (F.col("n_before") >= least_before))
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("r_high").alias("level"), F.col("p_high").alias("target")), F.struct(F.lit(-1), F.col("r_low"), F.col("p_low"))))
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("r_high").alias("level"), F.col("p_high").alias("target")), F.struct(F.lit(-1).alias("side"), F.col("r_low").alias("level"), F.col("p_low").alias("target"))))
     day = day.select("symbol", "session", sides.alias("s")).select("symbol", "session", "s.*").filter("target * side > level * side")
     closes = sessions.with_sessions(coarse).filter((m >= start + range_minutes) & (m < sessions.RTH[1])).join(day, ["symbol", "session"]).filter(F.col("close") * F.col("side") > F.col("level") * F.col("side"))
     armed = closes.groupBy("symbol", "session", "side").agg((F.min_by("minutes", "i") + coarse_minutes).alias("armed"))
@@ -181,7 +182,7 @@ def walk_forward(features: DataFrame, bars: DataFrame, cost: float, lookback: in
     bars. Every fold starts flat, so folds are keys of one simulation: each range of each fold is a series of its own."""
     last = features.groupBy("symbol").agg(F.max("i").alias("last"))
     folds = last.filter(F.col("last") >= lookback).select("symbol", F.posexplode(F.expr(f"sequence({lookback}, last, {step})")).alias("fold", "start"))
-    ranges = folds.select("symbol", "fold", F.explode(F.array(F.struct(F.lit("fit").alias("part"), (F.col("start") - lookback).alias("lo"), F.col("start").alias("hi")), F.struct(F.lit("test"), F.col("start"), F.col("start") + step))).alias("r")).select("symbol", "fold", "r.*")
+    ranges = folds.select("symbol", "fold", F.explode(F.array(F.struct(F.lit("fit").alias("part"), (F.col("start") - lookback).alias("lo"), F.col("start").alias("hi")), F.struct(F.lit("test").alias("part"), F.col("start").alias("lo"), (F.col("start") + step).alias("hi")))).alias("r")).select("symbol", "fold", "r.*")
 
     def cut(df: DataFrame) -> DataFrame:
         """Rows of each range, under a name of the range in place of the symbol, numbered from its start."""

@@ -66,22 +66,22 @@ def simulate_series(pdf: pd.DataFrame, presets: dict, cost: float) -> pd.DataFra
     return pd.DataFrame(out, columns=[c.split()[0] for c in TRADES.split(", ")])
 
 
+def trend_step(line: float, up: bool, before: float, close: float, below: float, above: float) -> tuple[float, bool]:
+    """The line and its side at a bar, from those at the bar before and the close before: while the side holds, the line does
+    not loosen; a side that changed takes its own band; a close through the line changes sides at once."""
+    side = before > line
+    held = {True: max(line, below), False: min(line, above)}
+    fresh = {True: below, False: above}
+    now = (held if side == up else fresh)[side]
+    through = close < now if side else close > now
+    return (fresh[not side], not side) if through else (now, side)
+
+
 def trend_line(pdf: pd.DataFrame, mult: float) -> pd.DataFrame:
-    """The line trails below while the last close lies above it and above otherwise, never loosening on one side; a close
-    through it changes sides at once."""
+    """The trend line of one series, by trend_step from bar to bar."""
     pdf = pdf.sort_values("i")
     close, mid, reach = pdf["close"].to_numpy(float), (pdf["high"] + pdf["low"]).to_numpy(float) / 2, mult * pdf["atr"].to_numpy(float)
-    below, above = mid - reach, mid + reach
-    line, up = [float(below[0])], [True]
-    for c0, c, lo, hi in zip(close[:-1], close[1:], below[1:], above[1:]):
-        if c0 > line[-1]:
-            now, side = (max(lo, line[-1]) if up[-1] else lo), True
-        else:
-            now, side = (hi if up[-1] else min(hi, line[-1])), False
-        if side and c < now:
-            now, side = hi, False
-        elif not side and c > now:
-            now, side = lo, True
-        line.append(float(now))
-        up.append(side)
-    return pdf[["symbol", "i"]].assign(super_trend=line, super_trend_up=up)
+    states = [(float(mid[0] - reach[0]), True)]
+    for k in range(1, len(close)):
+        states.append(trend_step(*states[-1], close[k - 1], close[k], float(mid[k] - reach[k]), float(mid[k] + reach[k])))
+    return pdf[["symbol", "i"]].assign(super_trend=[x for x, _ in states], super_trend_up=[u for _, u in states])

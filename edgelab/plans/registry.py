@@ -493,3 +493,4 @@ def account_evaluation(spark, sf_dir):
 from . import signal_queries  # noqa: E402, F401
 from . import level_queries  # noqa: E402, F401
 from . import conditioner_queries  # noqa: E402, F401
+from . import report_queries  # noqa: E402, F401
