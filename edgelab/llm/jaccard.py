@@ -46,6 +46,8 @@ from .components import components
 WORDS, PERCENT = 5, 80
 #: Documents (or pairs of them) whose ids may be broadcast to their texts; beyond that they are joined by shuffling.
 BROADCAST_IDS = 500_000
+#: Rows to drop whose keys (8 bytes each) may be broadcast to the documents; beyond that they are joined by shuffling.
+BROADCAST_ROWS = 2_000_000
 #: Letters of text that a Python worker describes or compares at a time (one text at least), and rows it is sent at a time.
 LETTERS, ROWS = 400_000, 500
 WINDOW_LONGS = 16
@@ -541,5 +543,6 @@ def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         # A key of each row's own stands for doc_id; it is written down, so that it is the same whenever it is read.
         keyed = keep(common.materialise(documents.withColumn(_ROW, F.monotonically_increasing_id()), "keyed"))
         found = join_components(keyed.select(F.col(_ROW).alias("doc_id"), "text"), percent)
-        chosen = keep(common.materialise(found.filter("doc_id = component_id").select(F.col("doc_id").alias(_ROW)), "kept"))
-    return keyed.join(chosen, _ROW, "left_semi").select(*documents.columns)
+        dropped = keep(common.materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(_ROW)), "dropped"))
+        few = dropped.count() <= BROADCAST_ROWS  # then no text is dealt
+    return keyed.join(F.broadcast(dropped) if few else dropped, _ROW, "left_anti").select(*documents.columns)
