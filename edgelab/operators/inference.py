@@ -144,21 +144,29 @@ def combinations(spark, blocks: int) -> DataFrame:
     return masks.select("combo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).withColumn("inside", F.getbit("combo", F.col("block").cast("int")) == 1)
 
 
-def cscv_splits(sums: DataFrame, combos: DataFrame) -> DataFrame:
-    """Per split: the in-sample winner, its metrics on both sides and the logit of its rank out of sample.
-
-    Sums of blocks suffice, so a split costs blocks * configurations rows, not a pass over the trials."""
+def split_metrics(sums: DataFrame, combos: DataFrame, metric: str = "sharpe") -> DataFrame:
+    """(combo, cfg, is_metric, oos_metric): each configuration on both sides of each split, from sums of blocks, so that a split
+    costs blocks * configurations rows and not a pass over the trials. metric: sharpe or mean."""
     g = sums.join(F.broadcast(combos), "block").groupBy("combo", "cfg", "inside").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx"))
     mean = F.col("x") / F.col("n")
     sharpe = F.try_divide(mean, F.sqrt(F.greatest(F.try_divide(F.col("xx") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0))))
-    m = g.withColumn("m", sharpe).groupBy("combo", "cfg").agg(F.max(F.when(F.col("inside"), F.col("m"))).alias("is_metric"), F.max(F.when(~F.col("inside"), F.col("m"))).alias("oos_metric"))
+    m = g.withColumn("m", {"sharpe": sharpe, "mean": mean}[metric])
+    return m.groupBy("combo", "cfg").agg(F.max(F.when(F.col("inside"), F.col("m"))).alias("is_metric"), F.max(F.when(~F.col("inside"), F.col("m"))).alias("oos_metric"))
+
+
+def split_winners(metrics: DataFrame) -> DataFrame:
+    """Per split: the in-sample winner, its metrics on both sides and the logit of its rank out of sample."""
     known = F.count("oos_metric").over(Window.partitionBy("combo"))
     rank = F.row_number().over(Window.partitionBy("combo").orderBy(F.asc_nulls_first("oos_metric"), "cfg")) - (F.count("*").over(Window.partitionBy("combo")) - known)
-    x = m.withColumn("w", F.greatest(F.least(rank / (known + 1), F.lit(1 - 1e-9)), F.lit(1e-9))).withColumn("mean_oos", F.avg("oos_metric").over(Window.partitionBy("combo")))
+    x = metrics.withColumn("w", F.greatest(F.least(rank / (known + 1), F.lit(1 - 1e-9)), F.lit(1e-9))).withColumn("mean_oos", F.avg("oos_metric").over(Window.partitionBy("combo")))
     best = x.withColumn("first", F.row_number().over(Window.partitionBy("combo").orderBy(F.desc_nulls_last("is_metric"), "cfg"))).filter("first = 1 and is_metric is not null")
     return best.select("combo", F.col("cfg").alias("winner"), "is_metric", "oos_metric", "mean_oos", F.ln(F.col("w") / (1 - F.col("w"))).alias("lambda"))
 
 
+def cscv_splits(sums: DataFrame, combos: DataFrame, metric: str = "sharpe") -> DataFrame:
+    return split_winners(split_metrics(sums, combos, metric))
+
+
 def pbo(splits: DataFrame) -> DataFrame:
     """Probability of backtest overfitting and what goes with it, over all splits."""
     return splits.agg(F.count("*").alias("combinations"), F.avg((F.col("lambda") <= 0).cast("int")).alias("pbo"), F.percentile("lambda", 0.5).alias("lambda_median"), F.regr_slope("oos_metric", "is_metric").alias("slope"), F.regr_intercept("oos_metric", "is_metric").alias("intercept"), F.avg((F.col("oos_metric") < 0).cast("int")).alias("prob_oos_loss"), F.percentile("oos_metric", 0.5).alias("oos_median"), F.percentile("is_metric", 0.5).alias("is_median"))

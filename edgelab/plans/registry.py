@@ -342,9 +342,10 @@ def _lineitem(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("pnl", F.expr(PNL))
 
 
-def _splits(spark, sf_dir, blocks=BLOCKS):
+def _splits(spark, sf_dir, blocks=BLOCKS, parts=False):
     x = _lineitem(spark, sf_dir).groupBy((F.col("l_suppkey") % 9).alias("cfg"), F.expr("(year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1").alias("t")).agg(F.sum("pnl").alias("pnl"))
-    return inference.cscv_splits(inference.block_sums(x, blocks), inference.combinations(spark, blocks))
+    both = inference.block_sums(x, blocks), inference.combinations(spark, blocks)
+    return both if parts else inference.cscv_splits(*both)
 
 
 SPLITS = f"""tr AS (SELECT l_suppkey % 9 AS cfg, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS t, sum({PNL}) AS pnl FROM lineitem GROUP BY 1, 2), ln AS (SELECT (max(t) + 1) // {BLOCKS} AS len FROM tr),
@@ -494,3 +495,4 @@ from . import signal_queries  # noqa: E402, F401
 from . import level_queries  # noqa: E402, F401
 from . import conditioner_queries  # noqa: E402, F401
 from . import report_queries  # noqa: E402, F401
+from . import family_queries  # noqa: E402, F401
