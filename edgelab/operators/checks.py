@@ -104,3 +104,26 @@ def bias_battery(trades: DataFrame, bars: DataFrame, surface: DataFrame, keys: l
     near = trading.plateau(surface, "x", "y", "v").withColumn("verdict", F.when((F.col("v") > 0) & (F.col("near_mean") <= 0), "warn").otherwise("pass"))
     gaps = coverage(bars).withColumn("verdict", F.when(F.col("largest_gap") > 7, "warn").otherwise("pass"))
     return reduce(DataFrame.unionByName, [named(luck, "luck"), named(runs, "runs"), named(near, "plateau"), named(trading.regime_balance(trades, regime), "regimes"), named(gaps, "coverage")])
+
+
+def order_checks(ticks: DataFrame, seq: str = "seq") -> DataFrame:
+    """Rows, stamps that occur again, and stamps that go backwards in the order of the file, by symbol. Rows are put in order within
+    ranges of the file's numbers; between ranges only their ends meet."""
+    x = ticks.withColumn("part", F.floor(F.col(seq) / 1_000_000))
+    w = Window.partitionBy("symbol", "part").orderBy(seq)
+    back = x.withColumn("back", truth(F.col("ts") < F.lag("ts").over(w)).cast("long"))
+    p = back.groupBy("symbol", "part").agg(F.count("*").alias("n"), F.sum("back").alias("back"), F.min_by("ts", seq).alias("first"), F.max_by("ts", seq).alias("last"))
+    p = p.withColumn("edge", truth(F.col("first") < F.lag("last").over(Window.partitionBy("symbol").orderBy("part"))).cast("long"))
+    stamps = ticks.groupBy("symbol", "ts").agg(F.count("*").alias("k")).groupBy("symbol").agg(F.sum(F.col("k") - 1).alias("duplicates"))
+    return p.groupBy("symbol").agg(F.sum("n").alias("n"), (F.sum("back") + F.sum("edge")).alias("backwards")).join(stamps, "symbol").select("symbol", "n", "duplicates", "backwards")
+
+
+def check_bundle(bars: DataFrame, with_atr: DataFrame, fine: DataFrame | None = None, seconds: int | None = None) -> DataFrame:
+    """(symbol, name, n, verdict) of all checks of one file's bars: the battery, jumps and splices, and, with finer bars, agreement with them."""
+    found = jumps(with_atr).groupBy("symbol").agg(F.count(F.when(F.col("jump") > 10, 1)).alias("jumps"), F.count(F.when(F.col("splice") > 6, 1)).alias("splices"))
+    rows = bars.select("symbol").distinct().join(found, "symbol", "left").select("symbol", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("jumps", "splices"))).unpivot("symbol", ["jumps", "splices"], "name", "n")
+    out = bar_checks(bars).unionByName(rows.withColumn("verdict", F.when(F.col("n") > 0, "warn").otherwise("pass")))
+    if fine is not None:
+        c = cross_timeframe(fine, bars, seconds).unpivot("symbol", ["empty", "different"], "name", "n")
+        out = out.unionByName(c.withColumn("verdict", F.when(F.col("n") > 0, "fail").otherwise("pass")))
+    return out

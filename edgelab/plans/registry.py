@@ -496,3 +496,4 @@ from . import level_queries  # noqa: E402, F401
 from . import conditioner_queries  # noqa: E402, F401
 from . import report_queries  # noqa: E402, F401
 from . import family_queries  # noqa: E402, F401
+from . import ladder_queries  # noqa: E402, F401

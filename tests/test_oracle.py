@@ -10,7 +10,13 @@ from edgelab.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["hourly_bars", "coarser_bars", "merged_duplicates", "window_indicators", "scan_indicators", "affine_scan", "super_trend", "event_information", "forward_outcomes", "session_vwap", "causal_bands", "band_race", "swing_levels", "volume_profiles", "permuted_bars", "variance_ratio", "backtest_overfitting", "luck_battery", "runs_test", "bar_checks", "order_flow"]
+FAST = """
+hourly_bars coarser_bars merged_duplicates window_indicators scan_indicators super_trend event_information forward_outcomes session_vwap
+causal_bands band_race swing_levels volume_profiles permuted_bars variance_ratio backtest_overfitting luck_battery runs_test
+bar_checks order_flow indicator_signals directional_movement regimes base_entries ichimoku_information cross_filters separated_entries
+anchored_bands band_races confluence bucket_races touch_then_cross session_profiles tick_value_areas session_levels level_breaks
+path_conditioners fade_economics trailing_trades follow_the_cross merged_order_flow trade_dependence month_table parameter_plateau order_checks
+""".split()
 
 
 @pytest.fixture(scope="module")
