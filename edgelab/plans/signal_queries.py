@@ -128,22 +128,22 @@ pc AS MATERIALIZED (SELECT *, coalesce(dir <> lag(dir) OVER w, false) AS cross_,
 pk AS MATERIALIZED (SELECT *, CASE WHEN dir = 1 AND coalesce(pd, -1) = -1 THEN 1 WHEN dir = -1 AND pd = 1 THEN -1 END AS started FROM pc)"""
 
 
-@query(f"""{BASE}, {PAIR_SQL} SELECT symbol, i, dir, cross_ AS cross_here, CASE WHEN df > 0 AND pdf <= 0 THEN 1 WHEN df < 0 AND pdf >= 0 THEN -1 END AS strict_side, CASE WHEN i >= 20 THEN CAST(sum(CAST(cross_ AS BIGINT)) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS BIGINT) END AS crosses_before,
- CASE WHEN started = dir THEN dir END AS entry0, CASE WHEN lag(started, 3) OVER (PARTITION BY symbol ORDER BY i) = dir THEN dir END AS entry3 FROM pk""")
+@query(f"""{BASE}, {PAIR_SQL} SELECT symbol, i, dir, cross_ AS cross_here, CASE WHEN df > 0 AND pdf <= 0 THEN 1 WHEN df < 0 AND pdf >= 0 THEN -1 ELSE 0 END AS strict_side, CASE WHEN i >= 20 THEN CAST(sum(CAST(cross_ AS BIGINT)) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS BIGINT) ELSE -1 END AS crosses_before,
+ CASE WHEN started = dir THEN dir ELSE 0 END AS entry0, CASE WHEN lag(started, 3) OVER (PARTITION BY symbol ORDER BY i) = dir THEN dir ELSE 0 END AS entry3 FROM pk""")
 def cross_filters(spark, sf_dir):
     """EMA crosses: state, strict crosses, crosses before, entries at once and three bars later."""
     x = signals.ema_pair(_hourly(spark, sf_dir), 8, 21)
-    return x.select("symbol", "i", "dir", F.col("cross").alias("cross_here"), signals.strict_crosses(F.col("fast"), F.col("slow")).alias("strict_side"), signals.cross_count(20).alias("crosses_before"), signals.confirmed(0).alias("entry0"), signals.confirmed(3).alias("entry3"))
+    return x.select("symbol", "i", "dir", F.col("cross").alias("cross_here"), F.coalesce(signals.strict_crosses(F.col("fast"), F.col("slow")), F.lit(0)).alias("strict_side"), F.coalesce(signals.cross_count(20), F.lit(-1)).alias("crosses_before"), *(F.coalesce(signals.confirmed(k), F.lit(0)).alias(f"entry{k}") for k in (0, 3)))
 
 
 @query(_sql(f"""{BASE}, {STEPS}, {recursion('att', 'mv', {'a': ('(1.0/14)', 'x.tr')})}, {PAIR_SQL},
 sp AS (SELECT pk.*, lag(a) OVER (PARTITION BY symbol ORDER BY i) AS atr, sum(CASE WHEN started IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY i) AS grp FROM pk JOIN att USING (symbol, i)),
 sq AS (SELECT *, abs(f - s) / CASE WHEN atr > 0 THEN atr END AS sep, i - min(i) OVER (PARTITION BY symbol, grp) AS age FROM sp),
-result AS (SELECT symbol, i, CASE WHEN i = min(CASE WHEN grp > 0 AND age <= 12 AND sep >= 0.5 THEN i END) OVER (PARTITION BY symbol, grp) THEN dir END AS entry, sep FROM sq)""", "symbol i entry", "sep"))
+result AS (SELECT symbol, i, CASE WHEN i = min(CASE WHEN grp > 0 AND age <= 12 AND sep >= 0.5 THEN i END) OVER (PARTITION BY symbol, grp) THEN dir ELSE 0 END AS entry, sep FROM sq)""", "symbol i entry", "sep"))
 def separated_entries(spark, sf_dir):
     """Crosses that wait until the lines are apart."""
     x = signals.ema_pair(indicators.atr(_hourly(spark, sf_dir)), 8, 21)
-    return signals.separated(x, 0.5).select("symbol", "i", "entry", "sep")
+    return signals.separated(x, 0.5).select("symbol", "i", F.coalesce("entry", F.lit(0)).alias("entry"), "sep")
 
 
 @query(f"""{BASE}, {MENU_SQL}, cl AS (SELECT me.symbol, me.ind, me.i, coalesce(sign(value - ref), 0) AS call, b.close FROM me JOIN bars b USING (symbol, i)),
