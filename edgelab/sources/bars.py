@@ -23,8 +23,10 @@ def read_csv_bars(spark: SparkSession, path: str, zone: str = "America/Chicago")
 
 
 def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    """Header-less day files separated by `;`; stamps stay strings as they overflow 64 bits; broken lines become nulls."""
-    return spark.read.schema(QUOTE_SCHEMA).option("sep", ";").option("mode", "PERMISSIVE").csv(path).withColumn("file", F.input_file_name())
+    """Header-less day files separated by `;`, with the day of the file's name; stamps stay strings as they overflow 64 bits;
+    broken lines become nulls, and files that can't be read are left out."""
+    raw = spark.read.schema(QUOTE_SCHEMA).option("sep", ";").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true").csv(path)
+    return raw.withColumn("file", F.input_file_name()).withColumn("day", F.regexp_extract("file", "(\\d{8})[^/]*$", 1))
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

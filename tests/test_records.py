@@ -102,9 +102,9 @@ def test_delimited_bars_and_quotes(spark, tmp_path):
     (tmp_path / "b.csv").write_text("ts,open,high,low,close,volume\n1704067200,1,2,0.5,1.5,10\n1704067140,1,1,1,1,1\n")
     got = src.read_csv_bars(spark, f"file://{tmp_path}/b.csv").orderBy("i").collect()
     assert [r.ts for r in got] == [1704067140, 1704067200] and str(got[1].dt) == "2023-12-31 18:00:00"
-    (tmp_path / "q.csv").write_text("638000000000000000;1;0;100.25;3;1;1\nbroken\n")
-    q = src.read_quotes(spark, f"file://{tmp_path}/q.csv").collect()
-    assert q[0].price == 100.25 and q[1].price is None
+    (tmp_path / "q20240102.csv").write_text("638000000000000000;1;0;100.25;3;1;1\nbroken\n")
+    q = src.read_quotes(spark, f"file://{tmp_path}/q20240102.csv").collect()
+    assert q[0].price == 100.25 and q[1].price is None and q[0].day == "20240102"
 
 
 def run_stream(spark, pdf, schema, make, tmp_path, name):
