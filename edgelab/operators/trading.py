@@ -91,7 +91,7 @@ def split_summary(trades: DataFrame, keys: list[str], split: Column, pnl: str =
 def month_table(trades: DataFrame, day: str, pnl: str = "pnl") -> DataFrame:
     """One row a year with a column for each month and the year's total."""
     months = list(range(1, 13))
-    p = trades.groupBy(F.year(day).alias("year")).pivot("month", months).sum(pnl) if "month" in trades.columns else trades.withColumn("month", F.month(day)).groupBy(F.year(day).alias("year")).pivot("month", months).sum(pnl)
+    p = trades.select(F.year(day).alias("year"), F.month(day).alias("month"), pnl).groupBy("year").pivot("month", months).sum(pnl)
     named = p.select("year", *(F.coalesce(F.col(f"`{m}`"), F.lit(0.0)).alias(f"m{m:02d}") for m in months))
     return named.withColumn("total", sum((F.col(f"m{m:02d}") for m in months), F.lit(0.0)))
 
