@@ -51,6 +51,8 @@ BROADCAST_ROWS = 2_000_000
 #: Letters of text that a Python worker describes or compares at a time (one text at least), and rows it is sent at a time.
 LETTERS, ROWS = 400_000, 500
 WINDOW_LONGS = 16
+#: Texts that one task compares with another one.
+STAR = 500
 #: Members of a cell that one task joins (a region with more is cut over many tasks first), members compared without more
 #: pivots, pivots of a level, levels of distributed cuts, and how many pairs of two components are compared in each round (None: all).
 CELL, SMALL, PIVOTS, LEVELS, NEAREST = 1024, 48, 6, 3, (1, 64, None)
@@ -380,28 +382,26 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], ["point", "packed"])
 
 
-def _links(texts: list[tuple[str, str]], percent: int) -> list[bool]:
-    sets = shingle_sets([t for pair in texts for t in pair])
-    out = []
-    for x, y in zip(sets[::2], sets[1::2]):
-        same = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(len(x) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
-    return out
-
-
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    unpacker = zstandard.ZstdDecompressor()
+    """Stars one after another: the text of a (b is null), then those of the b's compared with it; the pairs that link."""
+    unpacker, held = zstandard.ZstdDecompressor(), np.zeros(0, _U)
     for b in common.trimmed(batches):
-        left, right = common.column(b, "text_a"), common.column(b, "text_b")
-        ok, some, letters = [], [], 0
-        for i in range(b.num_rows):
-            pair = tuple(unpacker.decompress(c[i].as_py()).decode("utf-8", "surrogatepass") for c in (left, right))
-            some.append(pair)
-            letters += len(pair[0]) + len(pair[1])
-            if letters > LETTERS or i + 1 == b.num_rows:
-                ok += _links(some, percent)
-                some, letters = [], 0
-        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        packed, left, right = common.column(b, "packed"), common.column(b, "a").to_pylist(), common.column(b, "b").to_pylist()
+        found, start = [], 0
+        while start < b.num_rows:
+            texts, letters = [], 0
+            while start + len(texts) < b.num_rows and letters <= LETTERS:
+                texts.append(unpacker.decompress(packed[start + len(texts)].as_py()).decode("utf-8", "surrogatepass"))
+                letters += len(texts[-1])
+            for i, x in enumerate(shingle_sets(texts), start):
+                if right[i] is None:
+                    held = x
+                    continue
+                same = len(np.intersect1d(held, x, assume_unique=True))
+                if same and 100 * same >= percent * (len(held) + len(x) - same):
+                    found.append(i)
+            start += len(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([left[i] for i in found], pa.int64()), pa.array([right[i] for i in found], pa.int64())], ["a", "b"])
 
 
 def _window_holds(a: str, b: str, percent: int):
@@ -507,16 +507,21 @@ def _join(documents: DataFrame, percent: int, keep) -> DataFrame:
     def compared(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose texts link."""
         ids = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
-        few = ids.count() <= BROADCAST_IDS
+        few = max(ids.count(), pairs.count()) <= BROADCAST_IDS
         found = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
         if not ids.filter("doc_id is null").isEmpty():  # texts that only rows with a null doc_id have
             found = found.unionByName(docs.filter("doc_id is null"))
         texts = common.materialise(found.mapInArrow(_compress, "point long, packed binary"), "texts")
         if not texts.groupBy("point").count().filter("count > 1").isEmpty():  # a doc_id that several rows have
             texts = common.materialise(texts.dropDuplicates(["point"]), "texts")
-        left = texts.select(F.col("point").alias("a"), F.col("packed").alias("text_a")).join(F.broadcast(pairs.select("a", "b")) if pairs.count() <= BROADCAST_IDS else pairs.select("a", "b"), "a")
-        both = left.join(texts.select(F.col("point").alias("b"), F.col("packed").alias("text_b")).hint("merge"), "b")
-        return common.materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "compared")
+        # Stars: a text goes once to the tasks that compare it, with at most about STAR others in each; no text is repeated by pair.
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("slots"))
+        ends = common.materialise(pairs.select("a", "b").join(sizes, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots"))).select("a", "b", "slot"), "stars")
+        some = lambda df: F.broadcast(df) if few else df
+        centres = texts.join(some(ends.select("a", "slot").distinct()), F.col("point") == F.col("a")).select("a", "slot", F.lit(None).cast("long").alias("b"), "packed")
+        others = texts.join(some(ends), F.col("point") == F.col("b")).select("a", "slot", "b", "packed")
+        stars = centres.unionByName(others).repartition(parts, "a", "slot").sortWithinPartitions("a", "slot", F.asc_nulls_first("b"))
+        return common.materialise(stars.mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "compared")
 
     first = linked(met.filter("kind = 0").select("a", "b").distinct())
     rest = common.materialise(_left_over(met), "rest")
