@@ -136,8 +136,9 @@ def test_jaccard_cells_and_blocks(spark, monkeypatch):
         docs.append((k, " ".join(w)))
     docs += [(200 + k, " ".join([*base[:30], *(f"y{k}-{j}" for j in range(30))])) for k in range(60)]
     docs += [(None, docs[0][1]), (999, "long " * 60_000), (998, None), (0, docs[0][1])]
-    for cell in (1024, 12):
+    for cell, star in ((1024, 500), (12, 3)):
         monkeypatch.setattr(jaccard, "CELL", cell)
+        monkeypatch.setattr(jaccard, "STAR", star)
         got = sorted(map(tuple, jaccard.join_components(odd(spark, docs)).collect()), key=str)
         want = brute_components([(10**9 if i is None else i, t) for i, t in [*docs, docs[-1]]])
         assert got == sorted(((None if i == 10**9 else i, n, c) for i, n, c in want), key=str)
