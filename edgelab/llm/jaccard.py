@@ -495,14 +495,16 @@ def _join(documents: DataFrame, percent: int, keep) -> DataFrame:
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of points that link, by exact comparison of their texts."""
-        whole = pairs.select("a", "b").join(points.select(F.col("point").alias("a"), F.struct("doc_id", "n", *(f"w{i}" for i in range(WINDOW_LONGS))).alias("x")), "a").join(points.select(F.col("point").alias("b"), F.struct("doc_id", "n", *(f"w{i}" for i in range(WINDOW_LONGS))).alias("y")), "b")
-        near = common.materialise(whole.filter(_window_holds("x", "y", percent)).select("a", "b", F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b")), "near")
-        chosen = common.materialise(near.groupBy("b").agg(F.min(F.struct("a", "doc_a", "doc_b")).alias("x")).select("x.a", "b", "x.doc_a", "x.doc_b"), "chosen")
-        one = compared(chosen)
-        of = components(one)
-        left, right = (of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        apart = near.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-        return one.unionByName(compared(common.materialise(apart.select("a", "b", "doc_a", "doc_b").join(chosen.select("a", "b"), ["a", "b"], "left_anti"), "apart")))
+        with common.scratch(spark) as hold:
+            whole = pairs.select("a", "b").join(points.select(F.col("point").alias("a"), F.struct("doc_id", "n", *(f"w{i}" for i in range(WINDOW_LONGS))).alias("x")), "a").join(points.select(F.col("point").alias("b"), F.struct("doc_id", "n", *(f"w{i}" for i in range(WINDOW_LONGS))).alias("y")), "b")
+            near = common.materialise(whole.filter(_window_holds("x", "y", percent)).select("a", "b", F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b")), "near")
+            chosen = common.materialise(near.groupBy("b").agg(F.min(F.struct("a", "doc_a", "doc_b")).alias("x")).select("x.a", "b", "x.doc_a", "x.doc_b"), "chosen")
+            one = compared(chosen)
+            of = components(one)
+            left, right = (of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+            apart = near.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+            both = one.unionByName(compared(common.materialise(apart.select("a", "b", "doc_a", "doc_b").join(chosen.select("a", "b"), ["a", "b"], "left_anti"), "apart")))
+            return hold(common.materialise(both, "linked"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose texts link."""
@@ -527,13 +529,14 @@ def _join(documents: DataFrame, percent: int, keep) -> DataFrame:
     rest = common.materialise(_left_over(met), "rest")
     links = first
     for nearest in NEAREST:
-        meets = _mixed(rest.join(components(links).withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point")), "region")
-        active = common.materialise(meets.join(points.drop("doc_id"), "point"), "active")
-        pairs = common.materialise(_cut(active, percent).mapInArrow(lambda it, k=nearest: _join_cells(it, percent, k), "a long, b long, more long"), "cell-pairs")
-        if pairs.isEmpty():
-            break
-        links = common.materialise(links.unionByName(linked(pairs.select("a", "b").distinct())), "links")
-        rest = rest.join(pairs.filter("more is not null").select(F.col("more").alias("region")).distinct(), "region", "left_semi")
+        with common.scratch(spark) as hold:
+            meets = _mixed(rest.join(components(links).withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point")), "region")
+            active = common.materialise(meets.join(points.drop("doc_id"), "point"), "active")
+            pairs = common.materialise(_cut(active, percent).mapInArrow(lambda it, k=nearest: _join_cells(it, percent, k), "a long, b long, more long"), "cell-pairs")
+            if pairs.isEmpty():
+                break
+            links = hold(common.materialise(links.unionByName(linked(pairs.select("a", "b").distinct())), "links"))
+            rest = hold(common.materialise(rest.join(pairs.filter("more is not null").select(F.col("more").alias("region")).distinct(), "region", "left_semi"), "rest"))
     named = components(links).select(F.col("node").alias("point"), "component")
     labelled = points.select("point", "doc_id").join(named, "point", "left").withColumn("component", F.coalesce("component", "point"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
