@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import conditioners, execution, inference, levels, scan, sessions, signals
 from .indicators import wma
-from .windows import series, truth
+from .windows import finite, series, truth
 
 #: Lengths and pairs of the families (fixed values).
 FAST, SLOW, VWAP_SLOW = (9, 14, 21, 34, 55), (21, 50, 100, 200), (9, 21, 50, 100, 200)
@@ -108,8 +108,9 @@ def filter_information(bars: DataFrame, raw: DataFrame, horizons: list[int], poo
 
 
 def named_draws(draws: DataFrame) -> DataFrame:
-    """Each draw of each symbol as a series of its own, under the name `draw|symbol`, so that whatever is keyed by symbol takes draws."""
-    return draws.withColumn("symbol", F.concat_ws("|", F.col("perm").cast("string"), "symbol")).drop("perm")
+    """Each draw of each symbol as a series of its own, under the name `draw|symbol`, so that whatever is keyed by symbol takes draws.
+    Prices that a price of 0 leaves infinite or undefined are null, so that no comparison holds for them."""
+    return draws.withColumns({c: finite(c) for c in ("open", "high", "low", "close") if c in draws.columns}).withColumn("symbol", F.concat_ws("|", F.col("perm").cast("string"), "symbol")).drop("perm")
 
 
 def with_draw(rows: DataFrame) -> DataFrame:

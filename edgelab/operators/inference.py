@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import series, ahead, full, lead, truth
+from .windows import series, ahead, full, lead, log, truth
 
 WELCH = ["symbol", "cfg", "horizon"]
 
@@ -51,9 +51,12 @@ def permuted_bars(grouped: DataFrame, perms: int, seed: int = 1, start: int = 0,
 
     Groups 2k and 2k + 1 share a stretch of bars, the session k. Dealing within groups leaves a session's sums as they are, so
     each session starts from the close before it in the given market. A session is gathered into one row once; draws are made
-    from that row, and no draw is shuffled."""
+    from that row, and no draw is shuffled.
+
+    A price of 0 has a logarithm of minus infinity: lows of 0 are dealt on as such, and what follows an open or close of 0 in a
+    draw's session is 0, infinite or NaN, but never left out."""
     s = Window.partitionBy("symbol").orderBy("i")
-    lo = grouped.select("symbol", "group", "i", "ts", "volume", *(F.ln(c).alias(f"l{c[0]}") for c in ("open", "high", "low", "close")))
+    lo = grouped.select("symbol", "group", "i", "ts", "volume", *(log(c).alias(f"l{c[0]}") for c in ("open", "high", "low", "close")))
     parts = lo.select("symbol", "group", "i", "ts", "volume", (F.col("lo") - F.lag("lc").over(s)).alias("gap"), (F.col("lh") - F.col("lo")).alias("rh"), (F.col("ll") - F.col("lo")).alias("rl"), (F.col("lc") - F.col("lo")).alias("rc"), F.lag("lc").over(s).alias("before"))
     rows = parts.filter(F.col("i") > start).groupBy("symbol", F.floor(F.col("group") / 2).alias("block")).agg(F.array_sort(F.collect_list(F.struct("group", "i", "ts", "gap", "rh", "rl", "rc", "volume"))).alias("rows"), F.min_by("before", "i").alias("base"))
     drawn = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))

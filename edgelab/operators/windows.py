@@ -42,3 +42,16 @@ def lead(x: Column | str, n: int = 1) -> Column:
 def truth(condition: Column) -> Column:
     """A comparison with a missing value is false, also before it is negated."""
     return F.coalesce(condition, F.lit(False))
+
+
+def log(x: Column | str) -> Column:
+    """Natural logarithm with minus infinity for 0 and NaN below it, as in SQL engines that follow IEEE; Spark's ln is null there,
+    and sums would leave such rows out."""
+    c = col(x)
+    return F.when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan"))).otherwise(F.ln(c))
+
+
+def finite(x: Column | str) -> Column:
+    """The value, or null where it is infinite or NaN."""
+    c = col(x)
+    return F.when(F.abs(c) < float("inf"), c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import checks, figures
+from ..operators.windows import finite
 from ..sources import bars as src
 from . import ladder
 from .registry import BASE, PERMUTED, PNL, TICKS, _hourly, _lineitem, _permuted, _trades, query
@@ -43,7 +44,7 @@ def pnl_histogram(spark, sf_dir):
 SELECT symbol, i, round(max(v) FILTER (perm = 0), 4) AS "real", round(quantile_cont(v, 0.05) FILTER (perm > 0), 4) AS p05, round(quantile_cont(v, 0.5) FILTER (perm > 0), 4) AS p50, round(quantile_cont(v, 0.95) FILTER (perm > 0), 4) AS p95 FROM c GROUP BY 1, 2""")
 def price_fan(spark, sf_dir):
     """The market's path among the percentiles of its draws."""
-    paths = _permuted(spark, sf_dir).withColumn("v", F.ln("close"))
+    paths = _permuted(spark, sf_dir).withColumn("v", F.ln(finite("close")))
     f = figures.fan(paths, ["symbol"], "i", "v", (0.05, 0.5, 0.95))
     return f.select("symbol", "i", *(F.round(c, 4).alias(c) for c in ("real", "p05", "p50", "p95")))
 

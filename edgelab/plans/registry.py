@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import account, checks, indicators, inference, scan, sessions, trading
-from ..operators.windows import series, lag
+from ..operators.windows import finite, lag, log, series
 from ..shipping import ship
 from ..sources import bars as src
 
@@ -269,12 +269,13 @@ def _permuted(spark, sf_dir):
 @query(f"{BASE}, {PERMUTED} SELECT CAST(perm AS INTEGER) AS perm, symbol, count(*) AS bars, round(sum(ln(close) * (i + 1)) / count(*), 3) AS path, round(sum(ln(high) - ln(low)), 4) AS span, round(sum(volume * (i % 7)), 2) AS dealt FROM permuted GROUP BY 1, 2")
 def permuted_bars(spark, sf_dir):
     """Bars dealt anew within session groups, as rank-weighted sums of each draw."""
-    return _permuted(spark, sf_dir).groupBy("perm", "symbol").agg(F.count("*").alias("bars"), F.round(F.sum(F.ln("close") * (F.col("i") + 1)) / F.count("*"), 3).alias("path"), F.round(F.sum(F.ln("high") - F.ln("low")), 4).alias("span"), F.round(F.sum(F.col("volume") * (F.col("i") % 7)), 2).alias("dealt"))
+    return _permuted(spark, sf_dir).groupBy("perm", "symbol").agg(F.count("*").alias("bars"), F.round(F.sum(log("close") * (F.col("i") + 1)) / F.count("*"), 3).alias("path"), F.round(F.sum(log("high") - log("low")), 4).alias("span"), F.round(F.sum(F.col("volume") * (F.col("i") % 7)), 2).alias("dealt"))
 
 
 def _cells(spark, sf_dir):
     w = Window.partitionBy("perm", "symbol").orderBy("i")
-    x = _permuted(spark, sf_dir).withColumn("mom", F.ln("close") - F.ln(F.lag("close", 3).over(w)))
+    x = _permuted(spark, sf_dir).withColumn("close", finite("close"))
+    x = x.withColumn("mom", F.ln("close") - F.ln(F.lag("close", 3).over(w)))
     horizons = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"r{h}").alias("ret")) for h in (1, 4))))
     x = x.withColumn("r1", F.ln(F.lead("close", 1).over(w)) - F.ln("close")).withColumn("r4", F.ln(F.lead("close", 4).over(w)) - F.ln("close"))
     e = x.select("perm", "symbol", F.when(F.col("mom") > 0, 1).when(F.col("mom") < 0, -1).alias("side"), horizons.alias("o")).select("perm", "symbol", "side", "o.*").filter("side is not null")
