@@ -8,7 +8,7 @@ from ..operators import checks, figures
 from ..operators.windows import finite
 from ..sources import bars as src
 from . import ladder
-from .registry import BASE, PERMUTED, PNL, TICKS, _hourly, _lineitem, _permuted, _trades, query
+from .registry import BASE, PERMUTED, PNL, TICKS, _hourly, _lineitem, _permuted, _trades, query, rounded
 from .report_queries import _days
 
 
@@ -37,7 +37,7 @@ SELECT l_returnflag, bin, round(a + bin * st, 4) AS low, round(a + (bin + 1) * s
 def pnl_histogram(spark, sf_dir):
     """Results of trades in twenty bins."""
     h = figures.histogram(_lineitem(spark, sf_dir), ["l_returnflag"], "pnl", 20)
-    return h.withColumn("low", F.round("low", 4)).withColumn("high", F.round("high", 4))
+    return h.withColumn("low", rounded("low", 4)).withColumn("high", rounded("high", 4))
 
 
 @query(f"""{BASE}, {PERMUTED}, c AS (SELECT perm, i, symbol, ln(close) AS v FROM permuted)
@@ -46,7 +46,7 @@ def price_fan(spark, sf_dir):
     """The market's path among the percentiles of its draws."""
     paths = _permuted(spark, sf_dir).withColumn("v", F.ln(finite("close")))
     f = figures.fan(paths, ["symbol"], "i", "v", (0.05, 0.5, 0.95))
-    return f.select("symbol", "i", *(F.round(c, 4).alias(c) for c in ("real", "p05", "p50", "p95")))
+    return f.select("symbol", "i", *(rounded(c, 4).alias(c) for c in ("real", "p05", "p50", "p95")))
 
 
 @query(f"""WITH d AS (SELECT l_returnflag, l_shipdate, sum({PNL}) AS pnl FROM lineitem GROUP BY 1, 2), e AS (SELECT *, sum(pnl) OVER w AS eq FROM d WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate)), u AS (SELECT *, eq - max(eq) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS dd FROM e),
@@ -58,11 +58,11 @@ def underwater_spells(spark, sf_dir):
 
     d = _trades(spark, sf_dir).groupBy("l_returnflag", "l_shipdate").agg(F.sum("pnl").alias("pnl"))
     u = figures.underwater(trading.equity(d, ["l_returnflag"], ["l_shipdate"]), ["l_returnflag"], "l_shipdate")
-    return u.select("l_returnflag", "spell", F.round("depth", 5).alias("depth"), "points")
+    return u.select("l_returnflag", "spell", rounded("depth", 5).alias("depth"), "points")
 
 
 @query(f"SELECT l_suppkey % 9 AS cfg, count(*) AS n, round(avg({PNL}) / nullif(stddev_samp({PNL}), 0), 6) AS sharpe FROM lineitem GROUP BY 1")
 def sharpe_ratios(spark, sf_dir):
     """Sharpe ratio of each configuration."""
     x = figures.sharpe(_lineitem(spark, sf_dir).withColumn("cfg", F.col("l_suppkey") % 9), ["cfg"])
-    return x.withColumn("sharpe", F.round("sharpe", 6))
+    return x.withColumn("sharpe", rounded("sharpe", 6))

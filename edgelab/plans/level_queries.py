@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators, inference, levels, sessions, signals
 from ..sources import bars as src
-from .registry import BASE, LOCAL, SESSIONS, TICKS, _hourly, _sql, query
+from .registry import BASE, LOCAL, SESSIONS, TICKS, _hourly, _sql, query, rounded
 from .signal_queries import PAIR_SQL, STEPS, recursion
 
 #: Size of a price step, bars that make a session's profile usable on hourly bars, bars ahead in races, cost in points.
@@ -184,7 +184,7 @@ def _levels(spark, sf_dir):
 @query(f"{BASE}, {LEVEL_SQL} SELECT symbol, i, level, round(value, 3) AS value FROM ll")
 def session_levels(spark, sf_dir):
     """Thirteen kinds of levels at every bar."""
-    return _levels(spark, sf_dir).select("symbol", "i", "level", F.round("value", 3).alias("value"))
+    return _levels(spark, sf_dir).select("symbol", "i", "level", rounded("value", 3).alias("value"))
 
 
 BREAKS = f"""bk0 AS (SELECT *, coalesce(close > value, false) AS above, value IS NOT NULL AS known FROM ll),

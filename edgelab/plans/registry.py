@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import account, checks, indicators, inference, scan, sessions, trading
-from ..operators.windows import finite, lag, log, series
+from ..operators.windows import col, finite, lag, log, series
 from ..shipping import ship
 from ..sources import bars as src
 
@@ -31,8 +31,16 @@ SESSIONS = f"""s AS (SELECT *, m >= 510 AND m < 900 AS in_rth FROM (SELECT *, CA
 BASE = f"WITH RECURSIVE {TICKS}, {_bars_sql()}"
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """Rounds as the SQL's engine does: scaled in double precision, halves away from zero. Spark's round goes by the shortest
+    decimal instead, and so takes 87 / (320 / 3), which is 0.8156249999999999, to 0.81562 and not to 0.81563."""
+    x, scale = col(x), float(10**digits)
+    y = F.round(x * scale) / scale
+    return F.when(F.abs(y) < float("inf"), y).otherwise(x)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(F.col(c), DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(rounded(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _sql(body: str, exact: str, doubles: str) -> str:
@@ -194,7 +202,7 @@ v AS (SELECT *, sum(tp * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vwap,
 result AS (SELECT symbol, i, session, m AS minutes, in_rth, vwap, sqrt(greatest(sq - vwap * vwap, 0)) AS vwap_sd FROM v)""", "symbol i session minutes in_rth", "vwap").replace("FROM result", ", round(vwap_sd, 3) AS vwap_sd FROM result"))
 def session_vwap(spark, sf_dir):
     """Local sessions and their VWAP."""
-    return sessions.session_vwap(_hourly(spark, sf_dir)).select("symbol", "i", "session", "minutes", "in_rth", "vwap", F.round("vwap_sd", 3).alias("vwap_sd"))
+    return sessions.session_vwap(_hourly(spark, sf_dir)).select("symbol", "i", "session", "minutes", "in_rth", "vwap", rounded("vwap_sd", 3).alias("vwap_sd"))
 
 
 BANDS = f"""{SESSIONS}, t AS (SELECT *, (high + low + close) / 3 AS tp, row_number() OVER (PARTITION BY symbol, session ORDER BY i) - 1 AS age FROM s),
@@ -269,7 +277,7 @@ def _permuted(spark, sf_dir):
 @query(f"{BASE}, {PERMUTED} SELECT CAST(perm AS INTEGER) AS perm, symbol, count(*) AS bars, round(sum(ln(close) * (i + 1)) / count(*), 3) AS path, round(sum(ln(high) - ln(low)), 4) AS span, round(sum(volume * (i % 7)), 2) AS dealt FROM permuted GROUP BY 1, 2")
 def permuted_bars(spark, sf_dir):
     """Bars dealt anew within session groups, as rank-weighted sums of each draw."""
-    return _permuted(spark, sf_dir).groupBy("perm", "symbol").agg(F.count("*").alias("bars"), F.round(F.sum(log("close") * (F.col("i") + 1)) / F.count("*"), 3).alias("path"), F.round(F.sum(log("high") - log("low")), 4).alias("span"), F.round(F.sum(F.col("volume") * (F.col("i") % 7)), 2).alias("dealt"))
+    return _permuted(spark, sf_dir).groupBy("perm", "symbol").agg(F.count("*").alias("bars"), rounded(F.sum(log("close") * (F.col("i") + 1)) / F.count("*"), 3).alias("path"), rounded(F.sum(log("high") - log("low")), 4).alias("span"), rounded(F.sum(F.col("volume") * (F.col("i") % 7)), 2).alias("dealt"))
 
 
 def _cells(spark, sf_dir):
@@ -379,7 +387,7 @@ def _trades(spark, sf_dir):
 SELECT l_returnflag, count(*) AS n, round(avg(r), 5) AS mean_r, round(quantile_cont(r, 0.5), 5) AS median_r, round(sum(r) FILTER (r > 0) / nullif(-sum(r) FILTER (r < 0), 0), 5) AS profit_factor, round(avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END), 5) AS win_rate, round(sum(pnl), 2) AS total FROM t GROUP BY 1""")
 def trade_stats(spark, sf_dir):
     """R statistics of trades."""
-    return trading.trade_stats(_trades(spark, sf_dir), ["l_returnflag"], "pnl", "r").withColumn("total", F.round("total", 2))
+    return trading.trade_stats(_trades(spark, sf_dir), ["l_returnflag"], "pnl", "r").withColumn("total", rounded("total", 2))
 
 
 @query(f"""WITH t AS (SELECT l_returnflag, {PNL} AS pnl, row_number() OVER (PARTITION BY l_returnflag ORDER BY {PNL} DESC, {ORDER}) AS k FROM lineitem),
@@ -387,7 +395,7 @@ g AS (SELECT l_returnflag, count(*) AS n, sum(pnl) AS total, sum(pnl) FILTER (k
 SELECT l_returnflag, n, round(total, 2) AS total, round(total - top, 2) AS without_top, round(top / gross, 5) AS top_share, CASE WHEN total > 0 AND total - top <= 0 THEN 'fail' WHEN top / gross > 0.5 THEN 'warn' ELSE 'pass' END AS verdict FROM g""")
 def luck_battery(spark, sf_dir):
     """Concentration of the result in its best trades."""
-    return trading.luck(_trades(spark, sf_dir), ["l_returnflag"], ORDER.split(", ")).withColumn("total", F.round("total", 2)).withColumn("without_top", F.round("without_top", 2))
+    return trading.luck(_trades(spark, sf_dir), ["l_returnflag"], ORDER.split(", ")).withColumn("total", rounded("total", 2)).withColumn("without_top", rounded("without_top", 2))
 
 
 @query(f"""WITH t AS (SELECT l_returnflag, sign({PNL}) AS s, lag(sign({PNL})) OVER (PARTITION BY l_returnflag ORDER BY {ORDER}) AS p FROM lineitem WHERE {PNL} <> 0),
@@ -421,7 +429,7 @@ COSTS = [0.0, 1.0, 5.0, 20.0, 100.0]
 SELECT l_linestatus, cost, round(total, 2) AS total, CASE WHEN total > 0 AND after <= 0 THEN round(cost + (next_cost - cost) * total / (total - after), 5) END AS breakeven FROM n""")
 def cost_sensitivity(spark, sf_dir):
     """Totals by cost and the cost that breaks even."""
-    return account.cost_sensitivity(_trades(spark, sf_dir), COSTS, ["l_linestatus"]).withColumn("total", F.round("total", 2))
+    return account.cost_sensitivity(_trades(spark, sf_dir), COSTS, ["l_linestatus"]).withColumn("total", rounded("total", 2))
 
 
 @query(f"""{BASE}, x AS (SELECT *, ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS gap FROM bars), u AS (SELECT symbol, arg_max(gap, {{'c': c, 'g': -gap}}) AS usual FROM (SELECT symbol, gap, count(*) AS c FROM x WHERE gap IS NOT NULL GROUP BY 1, 2) GROUP BY 1),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import governance
 from ..operators import account, checks, execution, funding, indicators, inference, sessions, signals, trading
 from ..sources import bars as src
-from .registry import BASE, LOCAL, ORDER, PNL, QUOTED, SESSIONS, TICKS, _bars_sql, _features, _hourly, _lineitem, _returns, _sql, _trades, query
+from .registry import BASE, LOCAL, ORDER, PNL, QUOTED, SESSIONS, TICKS, _bars_sql, _features, _hourly, _lineitem, _returns, _sql, _trades, query, rounded
 from .signal_queries import PAIR_SQL, STEPS, recursion
 
 
@@ -16,14 +16,14 @@ from .signal_queries import PAIR_SQL, STEPS, recursion
 SELECT l_linestatus, n, round(total, 2) AS total, round(share, 5) AS share, CASE WHEN max(share) OVER () > 0.8 THEN 'warn' ELSE 'pass' END AS verdict FROM s""")
 def regime_balance(spark, sf_dir):
     """Results by regime and whether one dominates."""
-    return trading.regime_balance(_trades(spark, sf_dir), "l_linestatus").withColumn("total", F.round("total", 2))
+    return trading.regime_balance(_trades(spark, sf_dir), "l_linestatus").withColumn("total", rounded("total", 2))
 
 
 @query(f"""WITH t AS (SELECT l_returnflag, CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'train' ELSE 'test' END AS part, {PNL} AS pnl, greatest(least({PNL} / 100, 15), -15) AS r FROM lineitem)
 SELECT l_returnflag, part, count(*) AS n, round(avg(r), 5) AS mean_r, round(quantile_cont(r, 0.5), 5) AS median_r, round(sum(r) FILTER (r > 0) / nullif(-sum(r) FILTER (r < 0), 0), 5) AS profit_factor, round(avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END), 5) AS win_rate, round(sum(pnl), 2) AS total FROM t GROUP BY 1, 2""")
 def split_summary(spark, sf_dir):
     """Trade statistics before and after a date."""
-    return trading.split_summary(_trades(spark, sf_dir), ["l_returnflag"], F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"), "pnl", "r").withColumn("total", F.round("total", 2))
+    return trading.split_summary(_trades(spark, sf_dir), ["l_returnflag"], F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"), "pnl", "r").withColumn("total", rounded("total", 2))
 
 
 MONTHS = [f"m{k:02d}" for k in range(1, 13)]
@@ -33,7 +33,7 @@ MONTHS = [f"m{k:02d}" for k in range(1, 13)]
 def month_table(spark, sf_dir):
     """Results by year and month."""
     t = trading.month_table(_lineitem(spark, sf_dir), "l_shipdate")
-    return t.select("year", *(F.round(c, 2).alias(c) for c in [*MONTHS, "total"]))
+    return t.select("year", *(rounded(c, 2).alias(c) for c in [*MONTHS, "total"]))
 
 
 @query(f"""{BASE}, g AS (SELECT symbol, strftime(make_timestamp(ts * 1000000), '%Y-%W') AS mo, count(*) AS bars FROM bars GROUP BY 1, 2), h AS (SELECT *, max(bars) OVER (PARTITION BY symbol) AS most FROM g)
@@ -89,7 +89,7 @@ def merged_order_flow(spark, sf_dir):
 def unique_trials(spark, sf_dir):
     """The last record of each id."""
     t = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("when"), F.col("o_totalprice").alias("score"))
-    return governance.latest(t, ["id"], ["when", "score"]).agg(F.count("*").alias("trials"), F.round(F.sum("score"), 2).alias("total"))
+    return governance.latest(t, ["id"], ["when", "score"]).agg(F.count("*").alias("trials"), rounded(F.sum("score"), 2).alias("total"))
 
 
 @query(_sql(f"""{BASE}, {SESSIONS}, {recursion('ep', 'bars', {'f': ('(2.0/9)', 'x.close'), 's': ('(2.0/22)', 'x.close')})}, fl AS (SELECT s.symbol, s.i, session, close, CASE WHEN in_rth THEN CASE WHEN f > ep.s THEN 1 ELSE -1 END ELSE 0 END AS position FROM s JOIN ep USING (symbol, i)),
@@ -154,7 +154,7 @@ def _days(spark, sf_dir, dll=None):
 SELECT CAST(day AS VARCHAR) AS day, round(sum(pnl), 4) AS gain, round(min(least(start - greatest(-pnl, 0), after)), 4) AS low FROM s GROUP BY 1""")
 def day_results(spark, sf_dir):
     """Result and lowest point of every day."""
-    return _days(spark, sf_dir).select(F.col("day").cast("string").alias("day"), F.round("gain", 4).alias("gain"), F.round("low", 4).alias("low"))
+    return _days(spark, sf_dir).select(F.col("day").cast("string").alias("day"), rounded("gain", 4).alias("gain"), rounded("low", 4).alias("low"))
 
 
 @query()
