@@ -39,8 +39,8 @@ def rounded(x: Column | str, digits: int) -> Column:
     return F.when(F.abs(y) < float("inf"), y).otherwise(x)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(rounded(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def _rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return df.select(*(rounded(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _sql(body: str, exact: str, doubles: str) -> str:
@@ -49,11 +49,13 @@ def _sql(body: str, exact: str, doubles: str) -> str:
     return f"{body}\nSELECT {', '.join([*names[0], *(f'round({d}, {DIGITS}) AS {d}' for d in names[1])])} FROM result"
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, digits: int = DIGITS):
+    """Registers a query, whose doubles are rounded to `digits`: as many as its SQL gives at most."""
+
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return _rounded(f(spark, sf_dir))
+            return _rounded(f(spark, sf_dir), digits)
 
         run.__doc__, run.__name__ = f.__doc__, f.__name__
         QUERIES[f.__name__] = run

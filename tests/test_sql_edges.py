@@ -58,3 +58,9 @@ def test_rounding_is_that_of_the_sql(spark):
 def test_path_conditioners_equal_their_sql_to_the_last_digit(spark):
     a, b = same_as_sql(spark, "/root/testdata/sf0.01", "path_conditioners", ["symbol", "i"])
     assert np.isclose(a.to_numpy(float), b.to_numpy(float), rtol=0, atol=1e-9, equal_nan=True).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_sharpe_ratios_have_all_digits_of_their_sql(spark):
+    a, b = same_as_sql(spark, "/root/testdata/sf0.001", "sharpe_ratios", ["cfg", "n"])
+    assert len(a) == 9 and np.isclose(a.to_numpy(float), b.to_numpy(float), rtol=0, atol=1e-9, equal_nan=True).all()
