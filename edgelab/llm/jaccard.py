@@ -544,12 +544,26 @@ def _join(documents: DataFrame, percent: int, keep) -> DataFrame:
     return rows.select("doc_id", "point", F.col("n").alias("n_shingles")).join(of_point, "point", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _keyed(documents: DataFrame, keep) -> DataFrame:
+    """The rows with a key of each row's own as _ROW, which is the same whenever they are read. In a table of Parquet files it is
+    where the row lies; any other table is written down, as it need not come in the same order twice."""
+    plan = documents._jdf.queryExecution().analyzed()
+    kind = lambda x: x.getClass().getSimpleName()
+    files = kind(plan) == "LogicalRelation" and kind(plan.relation()) == "HadoopFsRelation" and kind(plan.relation().fileFormat()) == "ParquetFileFormat"
+    if not (files and plan.relation().location().rootPaths().size() == 1):  # of several paths, two may lead to one file
+        return keep(common.materialise(documents.withColumn(_ROW, F.monotonically_increasing_id()), "keyed"))
+    file, number = common.free_names(documents.columns, "file", "number")
+    at = documents.metadataColumn("_metadata")
+    names = sorted(r[0] for r in documents.select(at["file_path"]).distinct().collect())  # a row for each file
+    files = documents.sparkSession.createDataFrame(list(enumerate(names)), f"`{number}` long, `{file}` string")
+    return documents.withColumns({_ROW: at["row_index"], file: at["file_path"]}).join(F.broadcast(files), file).withColumn(_ROW, F.shiftleft(number, 40) + F.col(_ROW)).drop(file, number)
+
+
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component. Rows with a null doc_id count as any other, rows without shingles are alone."""
     spark = documents.sparkSession
     with common.scratch(spark) as keep:
-        # A key of each row's own stands for doc_id; it is written down, so that it is the same whenever it is read.
-        keyed = keep(common.materialise(documents.withColumn(_ROW, F.monotonically_increasing_id()), "keyed"))
+        keyed = _keyed(documents, keep)  # the keys stand for doc_id
         found = join_components(keyed.select(F.col(_ROW).alias("doc_id"), "text"), percent)
         dropped = keep(common.materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(_ROW)), "dropped"))
         few = dropped.count() <= BROADCAST_ROWS  # then no text is dealt

@@ -27,6 +27,8 @@ from . import common
 POSITIVES, UNLABELLED = 4_000, 8_000
 CLASSES = 20
 FEATURES = CLASSES * CLASSES + 5
+#: Columns standardised at a time.
+COLUMNS = 27
 _SIGNS = ".,!?;:|%$&*#'\"-"
 _table: np.ndarray | None = None
 
@@ -105,12 +107,26 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(above_u[bound.argmin()] / above_p[bound.argmin()], 0.05, 0.98))
 
 
+def standardised(pos: np.ndarray, unl: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both tables as one of double precision, standardised, with a last column of ones; means and scales. It is changed in
+    place, some columns at a time, so that the driver holds it once."""
+    n, width = len(pos), pos.shape[1]
+    both, mean, scale = np.ones((n + len(unl), width + 1)), np.empty(width), np.empty(width)
+    both[:n, :-1], both[n:, :-1] = pos, unl
+    for a in range(0, width, COLUMNS):
+        z = min(a + COLUMNS, width)
+        x = both[:, a:z]
+        mean[a:z] = x.mean(axis=0)
+        scale[a:z] = x.std(axis=0) + 0.02
+        x -= mean[a:z]
+        x /= scale[a:z]
+    return both, mean, scale
+
+
 def train(pos: np.ndarray, unl: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> Model:
     """Non-negative unbiased risk with the logistic loss, by full gradients."""
-    both = np.vstack([pos, unl]).astype(np.float64)
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 0.02
-    one = lambda x: np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    p, u = one(pos), one(unl)
+    both, mean, scale = standardised(pos, unl)
+    p, u = both[: len(pos)], both[len(pos) :]
     width = p.shape[1]
 
     def plain(w, a, b):
@@ -141,7 +157,7 @@ def _fetch(documents: DataFrame, ids: DataFrame) -> np.ndarray:
     some = documents.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
     one = some.mapInArrow(_features, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, x binary").groupBy("doc_id").agg(F.min("x").alias("x"))
     rows = sorted((r["doc_id"], bytes(r["x"])) for r in one.collect())
-    return np.frombuffer(b"".join(x for _, x in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
+    return np.frombuffer(b"".join(x for _, x in rows), np.float32).reshape(-1, FEATURES)
 
 
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> Model:

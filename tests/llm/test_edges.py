@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -291,3 +292,37 @@ def test_stages_against_plain_versions(spark):
     whole = {d for d, w in held.items() for i in items if i and any(w[k : k + len(i)] == i for k in range(len(w) - len(i) + 1))}
     kept = {r["doc_id"] for r in corpus_pipeline.decontaminated(spark, docs, SF).collect()}
     assert whole and not whole & kept and len(held) - len(kept) <= len(whole) + 20
+
+
+def test_keep_one_writes_no_text_of_parquet_files(spark, monkeypatch, tmp_path):
+    """Rows of files are named by where they lie, also under names that clash, whatever the splits; equal rows count one by one."""
+    texts = ["one two three four five six", "one two three four five six", None, "", "of its own a b c d", *(f"t{k} " * 9 + "a b c d" for k in range(40))]
+    rows = [(None if k == 4 else k // 2, t, "x", 1, 0) for k, t in enumerate(texts)] * 2
+    path, written, write = str(tmp_path / "some docs"), [], common.materialise
+    spark.createDataFrame(rows, "doc_id long, text string, file string, number int, _metadata int").repartition(5).write.parquet(path)
+    monkeypatch.setattr(common, "materialise", lambda df, name: written.append(df.columns) or write(df, name))
+    docs, seen = spark.read.parquet(path), []
+    for split in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        keyed = jaccard._keyed(docs, lambda df: df).select("edgelab_row", "doc_id", "text").collect()
+        assert len({r["edgelab_row"] for r in keyed}) == len(rows)
+        seen.append(sorted(map(tuple, keyed)))
+        got = jaccard.keep_one(docs)
+        assert sorted(r["text"] or "" for r in got.collect()) == sorted(["", "", "", "", *{t for t in texts if t}]) and got.columns == docs.columns
+    assert seen[0] == seen[1] and written and not any("text" in c for c in written)
+    twice = spark.read.parquet(path, path)  # rows that lie in one place
+    assert jaccard.keep_one(twice).count() == got.count() + 4 and any("text" in c for c in written)
+
+
+def test_quality_holds_its_table_once():
+    rng = np.random.default_rng(1)
+    pos, unl = (rng.random((n, quality.FEATURES)).astype(np.float32) ** 3 + shift for n, shift in ((800, np.float32(0.1)), (1600, np.float32(0))))
+    tracemalloc.start()
+    model = quality.train(pos, unl, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    both = np.vstack([pos, unl]).astype(np.float64)
+    assert peak < 1.5 * both.nbytes
+    assert np.array_equal(model.mean, both.mean(axis=0)) and np.array_equal(model.scale, both.std(axis=0) + 0.02)
+    got = quality.standardised(pos, unl)[0]
+    assert np.array_equal(got[:, :-1], (both - model.mean) / model.scale) and (got[:, -1] == 1).all()
